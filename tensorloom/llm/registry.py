@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from tensorloom.llm.simhash import op4_simhash
+from tensorloom.llm.winnow import OP10_SQL, op10_winnow
 
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op10_winnow": op10_winnow,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_winnow": OP10_SQL,
+}
