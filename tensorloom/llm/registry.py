@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from tensorloom.llm.minhash import op9_minhash
 from tensorloom.llm.simhash import op4_simhash
 from tensorloom.llm.winnow import OP10_SQL, op10_winnow
 
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op9_minhash": op9_minhash,
     "op10_winnow": op10_winnow,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_minhash": op9_minhash,
     "op10_winnow": OP10_SQL,
 }
