@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from tensorloom.llm.minhash import op9_minhash
+from tensorloom.llm.mixing import OP5_SQL, op5_mix
+from tensorloom.llm.shards import op8_shards
 from tensorloom.llm.simhash import op4_simhash
 from tensorloom.llm.winnow import OP10_SQL, op10_winnow
 
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op5_mix": op5_mix,
+    "op8_shards": op8_shards,
     "op9_minhash": op9_minhash,
     "op10_winnow": op10_winnow,
 }
 
 ORACLES: dict[str, str] = {
-    "op9_minhash": op9_minhash,
+    "op5_mix": OP5_SQL,
     "op10_winnow": OP10_SQL,
 }
