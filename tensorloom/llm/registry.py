@@ -10,11 +10,13 @@ from tensorloom.llm.shards import op8_shards
 from tensorloom.llm.simhash import op4_simhash
 from tensorloom.llm.toxicity import op7_toxicity
 from tensorloom.llm.urls import OP2_SQL, op2_urls
+from tensorloom.llm.warc import OP3_SQL, op3_warc
 from tensorloom.llm.winnow import OP10_SQL, op10_winnow
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_urls": op2_urls,
+    "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_mix": op5_mix,
     "op6_secrets": op6_secrets,
@@ -26,6 +28,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_urls": OP2_SQL,
+    "op3_warc": OP3_SQL,
     "op5_mix": OP5_SQL,
     "op10_winnow": OP10_SQL,
 }
