@@ -147,6 +147,15 @@ def fit(train: DataFrame) -> dict | None:
     return model
 
 
+def fitted(docs: DataFrame, labels: DataFrame, train_rows, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, dict | None]:
+    """The statistics of all documents, and the model of those with labels that meet ``train_rows``."""
+    stats = materialize(document_statistics(docs, id_col, text_col), "statistics")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & train_rows)
+    known = known.groupBy("id").agg(F.avg("y").alias("y"))
+    train = materialize(stats.join(known, "id").select("x", "y", F.pmod(F.xxhash64("id"), F.lit(2)).cast("bigint").alias("part")), "train")
+    return stats, fit(train)
+
+
 def score(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(id, score double) for every row of ``docs``: how likely its label is 1.
 
@@ -155,15 +164,10 @@ def score(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id"
     has statistics, and a score, like any other; rows that repeat come back as often; without any label to
     learn from all scores are 0.5. Other columns aren't read.
     """
-    spark = docs.sparkSession
-    stats = materialize(document_statistics(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & train_rows)
-    known = known.groupBy("id").agg(F.avg("y").alias("y"))
-    train = materialize(stats.join(known, "id").select("x", "y", F.pmod(F.xxhash64("id"), F.lit(2)).cast("bigint").alias("part")), "train")
-    model = fit(train)
+    stats, model = fitted(docs, labels, train_rows, id_col, text_col, label_col)
     if model is None:
         return stats.select("id", F.lit(0.5).alias("score"))
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
@@ -173,6 +177,21 @@ def score(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id"
     return stats.mapInArrow(scores, f"id {kind}, score double")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, judged row by row as they are read, without a shuffle."""
+    _, model = fitted(docs, labels, train_rows, id_col, text_col, label_col)
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def good(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics((t or "").encode()) for t in texts], np.float32).astype(np.float64).reshape(-1, STATS)
+        return pd.Series(calibrated(sent.value, x))
+
+    return docs.where(good(F.col(text_col)) >= 0.5)
+
+
 def op1_quality(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents") if docs is None else docs
     scored = score(docs, table(spark, sf_dir, "labels"), label_fold(F.col("id"), 3) != 1)
