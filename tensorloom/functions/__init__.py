@@ -1 +1 @@
-
+"""Expressions: Morton keys, mode orders, vectors as arrays."""

@@ -1 +1 @@
-
+"""Iterative programs over the operators."""

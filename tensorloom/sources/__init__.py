@@ -1 +1 @@
-
+"""Text formats, generators."""

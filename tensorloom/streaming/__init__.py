@@ -1 +1 @@
-
+"""Incremental tensors; an extension."""
