@@ -77,20 +77,18 @@ def words_of_copy(c: int) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """The mixed rows of ``docs``, globally sorted by virtual finish time: whole documents, at most MOST times.
 
-    Documents that the end of the budget would cut are left out, and so are those without words.
+    Documents that the end of the budget would cut are left out, and so are those without words. All columns
+    come back, whatever their names.
     """
     plan = schedule(docs, id_col, text_col, source_col, seed)
     copies = F.filter(F.array(*(F.when(words_of_copy(c) == F.col("size"), (c * F.col("source_size") + F.col("start") + F.col("size")) / F.col("weight")) for c in range(MOST))), F.isnotnull)
     # Rows that repeat an id, a source and a text are numbered on both sides, so that they meet one to one.
-    number = F.row_number().over(Window.partitionBy("_k", "_t").orderBy(F.lit(0)))
-    key = lambda id_, source, text: F.xxhash64(id_, source, text)
-    plan = plan.where("size > 0").select(key("id", "source", "text_hash").alias("_k"), F.col("text_hash").alias("_t"), copies.alias("_finish"))
-    plan = plan.withColumn("_n", number).where(F.size("_finish") > 0)
-    keyed = docs.withColumn("_t", F.xxhash64(text_of(text_col)))
-    keyed = keyed.withColumn("_k", key(id_col, source_col, "_t")).withColumn("_n", number)
-    met = keyed.join(plan, ["_k", "_t", "_n"])
-    out = met.select(*docs.columns, F.explode("_finish").alias("_vft"))
-    return out.repartitionByRange("_vft", id_col).sortWithinPartitions("_vft", id_col).drop("_vft")
+    number = F.row_number().over(Window.partitionBy("key", "text_hash").orderBy(F.lit(0)))
+    plan = plan.where("size > 0").select(F.xxhash64("id", "source", "text_hash").alias("key"), "text_hash", copies.alias("finish")).withColumn("n", number).where(F.size("finish") > 0)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_of(text_col)).alias("text_hash"))
+    rows = rows.select("row", "id", F.xxhash64("id", "source", "text_hash").alias("key"), "text_hash").withColumn("n", number)
+    out = rows.join(plan, ["key", "text_hash", "n"]).select("row", "id", F.explode("finish").alias("finish"))
+    return out.repartitionByRange("finish", "id").sortWithinPartitions("finish", "id").select("row.*")
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:

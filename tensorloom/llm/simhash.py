@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import materialize, table
+from tensorloom.llm.common import materialize, table, text_of
 from tensorloom.llm.components import components
 
 #: The references; their distances to a fingerprint are its coordinates.
@@ -141,11 +141,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest id, once.
 
-    A component of documents without ids keeps those that differ in id or text.
+    Of rows that repeat an id and a text one stays; a component of documents without ids keeps one for each
+    text. All columns come back, whatever their names.
     """
-    kept = near_duplicates(docs, id_col, text_col, ngram, max_bits).where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_kept")).distinct()
-    same = docs.withColumn("_text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return same.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col, "_text"]).drop("_text")
+    kept = near_duplicates(docs, id_col, text_col, ngram, max_bits).where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_of(text_col)).alias("text_hash"))
+    return rows.join(kept, F.col("own").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["own", "text_hash"]).select("row.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,7 +144,7 @@ def judge(urls: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
             one, two = (np.asarray(x.flatten().to_numpy(zero_copy_only=False), np.int64) for x in (h1, h2))
             hit, block, flat, start = member(one, two, in_list), member(one, two, blocked), keys.flatten(), 0
             rule, verdict = [], []
-            for n in pa.compute.list_value_length(keys).to_pylist():
+            for n in pc.list_value_length(keys).to_pylist():
                 first = next((i for i in range(start, start + n) if hit[i]), None)
                 rule.append(None if first is None else flat[first].as_py())
                 verdict.append("block" if first is not None and block[first] else "allow")

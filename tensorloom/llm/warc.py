@@ -151,14 +151,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for kind, page, digest, refers, blocks, whole in zip(*(c.to_pylist() for c in batch.columns)):
                 head, _, body = b"".join(blocks).partition(b"\r\n\r\n")
-                fields = dict(line.split(": ", 1) for line in head.decode("latin-1").split("\r\n")[1:])
+                fields = {k: v for k, _, v in (line.partition(": ") for line in head.decode("latin-1").split("\r\n")[1:])}
                 payload = body
                 if fields.get("Transfer-Encoding") == "chunked":
                     payload = unchunked(body)
                     whole, payload = whole and payload is not None, payload or b""
                 own = digest.removeprefix("sha1:") if digest else None
                 if kind == "revisit":
-                    out.append((page, None, int(fields["Content-Length"]), own, kind, refers, whole))
+                    out.append((page, None, int(fields.get("Content-Length", 0)), own, kind, refers, whole))
                 else:
                     sha1 = base32_sha1(hashlib.sha1(payload).hexdigest())
                     out.append((page, payload, len(payload), sha1, kind, refers, whole and sha1 == own))

@@ -33,6 +33,10 @@ def _row(pos: Column, code: Column, n: Column, before: Column, context: Column)
     return F.struct(pos.alias("pos"), code.alias("code"), n.alias("n"), before.alias("before"), context.alias("context"))
 
 
+def _short_row(n: int):
+    return lambda p: _row(p, _hash_at(F.col("hw"), p, n), F.lit(n), F.lit(0), F.slice("w", p + 1, n))
+
+
 def winnowed(df: DataFrame, short: list[int], whole: bool) -> DataFrame:
     """``df`` (with an array of words, ``w``) plus ``prints``: its fingerprints as structs.
 
@@ -60,7 +64,7 @@ def winnowed(df: DataFrame, short: list[int], whole: bool) -> DataFrame:
     for n in short:
         every = _range(F.col("nw") - (n - 1))
         at = F.when(F.col("nw") == n, every).otherwise(F.array().cast("array<int>")) if whole else every
-        parts.append(F.transform(at, lambda p, n=n: _row(p, _hash_at(F.col("hw"), p, n), F.lit(n), F.lit(0), F.slice("w", p + 1, n))))
+        parts.append(F.transform(at, _short_row(n)))
     return least.withColumn("prints", F.concat(*parts)).drop("hw", "g", "least")
 
 
@@ -113,9 +117,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any occurring window of ``items``."""
-    bad = contamination(docs, items, id_col, text_col, item_col, item_text).where(F.size("items") > 0).select(F.col("id").alias("_bad"), F.col("text_hash").alias("_bad_text"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(text_of(text_col)) == F.col("_bad_text")), "left_anti")
+    """The rows of ``docs`` without any occurring window of ``items``; all their columns, whatever their names."""
+    bad = contamination(docs, items, id_col, text_col, item_col, item_text).where(F.size("items") > 0).select("id", F.col("text_hash").alias("bad_text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_of(text_col)).alias("text_hash"))
+    return rows.join(bad, F.col("own").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("bad_text")), "left_anti").select("row.*")
 
 
 def op10_winnow(spark, sf_dir: str) -> DataFrame:
