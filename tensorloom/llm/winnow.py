@@ -50,11 +50,11 @@ def winnowed(df: DataFrame, short: list[int], whole: bool) -> DataFrame:
     side = SPAN - K
     hashed = df.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x))).withColumn("nw", F.size("w"))
     grams = hashed.withColumn("g", F.transform(_range(F.col("nw") - (K - 1)), lambda i: _hash_at(F.col("hw"), i, K)))
-    least = grams.withColumn("least", F.transform(_range(F.size("g") - (WINDOW - 1)), lambda i: F.array_min(F.slice("g", i + 1, WINDOW))))
+    least = grams.withColumn("least", F.transform(_range(F.size("g") - (WINDOW - 1)), lambda i: F.least(*(F.get(F.col("g"), i + k) for k in range(WINDOW)))))
     # A gram is the least of some window exactly if it equals the largest of the minima of the windows over it.
     chosen = F.filter(
         F.when(F.size("least") > 0, _range(F.size("least") + (WINDOW - 1))).otherwise(F.array().cast("array<int>")),
-        lambda p: F.get(F.col("g"), p) == F.array_max(F.slice("least", F.greatest(p - (WINDOW - 2), F.lit(1)), F.least(p + 1, F.lit(WINDOW)))),
+        lambda p: F.get(F.col("g"), p) == F.greatest(*(F.get(F.col("least"), p - k) for k in range(WINDOW))),  # out of bounds: null, ignored
     )
     long = F.transform(
         chosen,
