@@ -73,3 +73,11 @@ def marginals(x: SparseTensor) -> DataFrame:
 def top_k(x: SparseTensor, k: int) -> SparseTensor:
     """The k entries of largest magnitude; an extension."""
     return x.with_df(x.df.orderBy(F.abs("v").desc(), *x.modes).limit(k))
+
+
+def status_report(x: SparseTensor) -> str:
+    """Sizes, entries, density, entries a slice and bytes, as text."""
+    r = status_df(x).first()
+    return "\n".join([
+        "DIMS=" + "x".join(map(str, x.ndims)) + f" NNZ={r['nnz']}", f"DENSITY={r['density']:e}", "Average slice length: " + ", ".join(f"{s:.2f}" for s in r["slice_len"]), f"COO-STORAGE={bytes_string(r['bytes'])}", "",
+    ])
