@@ -15,8 +15,11 @@ from tensorloom.llm.common import label_fold, table
 
 #: Hashed features; labelled documents learnt from at most (the bound of the one task that learns).
 DIMENSIONS, MAX_TRAIN = 1 << 20, 8192
-#: Step, its offset, L1 and L2 penalties, passes over the labelled documents, weight of those with label 1.
-ALPHA, BETA, L1, L2, PASSES, POSITIVE = 2.0, 1.0, 6.0, 1.0, 3, 2.0
+#: Step, its offset, L1 and L2 penalties, passes over the labelled documents.
+ALPHA, BETA, L1, L2, PASSES = 3.0, 1.0, 8.0, 0.1, 6
+#: Added to the log-odds: L1 holds the weights back, and a toxic document that is missed costs more than one
+#: that is flagged wrongly.
+SHIFT = 1.0
 #: Labelled documents that a feature must occur in to be learnt.
 LEAST_DOCS = 3
 _WORD = re.compile(rb"[a-z0-9\x80-\xff']+")
@@ -55,13 +58,13 @@ def ftrl(rows: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray,
         for x, y in rows:
             zi, ni = z[x], n[x]
             w, w0 = weights(zi, ni, L1), float(weights(z0, n0, 0.0))
-            g = (1 / (1 + np.exp(-np.clip(w.sum() + w0, -35, 35))) - y) * (POSITIVE if y > 0.5 else 1.0)
+            g = 1 / (1 + np.exp(-np.clip(w.sum() + w0, -35, 35))) - y
             z[x] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[x] = ni + g * g
             z0, n0 = z0 + g - (np.sqrt(n0 + g * g) - np.sqrt(n0)) / ALPHA * w0, n0 + g * g
     w = weights(z, n, L1)
     kept = np.flatnonzero(w)
-    return kept, w[kept], float(weights(z0, n0, 0.0))
+    return kept, w[kept], float(weights(z0, n0, 0.0)) + SHIFT
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows, id_col: str, text_col: str, label_col: str, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, float] | None:
