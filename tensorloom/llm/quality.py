@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from tensorloom.llm.common import label_fold, materialize, table
 
 #: Statistics of a document, Fourier features of them, ridge penalty a row, cells of the calibration.
-STATS, FEATURES, RIDGE, CELLS = 22, 256, 1e-3, 512
+STATS, FEATURES, RIDGE, CELLS = 22, 256, 1e-5, 512
+#: The Gaussian kernel's exponent at one standard deviation in every statistic is half the square of this.
+SHARPNESS = 0.5
 #: Partitions over which the normal equations are summed, at most.
 SUMS = 64
 _BLOCK = 64
@@ -63,7 +65,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def new_model(mean: np.ndarray, scale: np.ndarray, seed: int = 0) -> dict:
     """What fitting starts from: the moments and the draws of the random features."""
     draw = np.random.default_rng(seed)
-    return {"mean": mean, "scale": scale, "w": draw.normal(size=(STATS, FEATURES)) / np.sqrt(STATS), "b": draw.uniform(0, 2 * np.pi, FEATURES)}
+    return {"mean": mean, "scale": scale, "w": SHARPNESS * draw.normal(size=(STATS, FEATURES)) / np.sqrt(STATS), "b": draw.uniform(0, 2 * np.pi, FEATURES)}
 
 
 def features(model: dict, x: np.ndarray) -> np.ndarray:
