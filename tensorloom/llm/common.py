@@ -2,49 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.storage import materialize, shared_dir
+
+__all__ = ["label_fold", "lower_ascii", "materialize", "shared_dir", "shared_path", "table", "text_of"]
+
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests, local mode) a temporary folder of this machine serves.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        current = context._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        found = tempfile.mkdtemp(prefix="tensorloom-")
-        context.setCheckpointDir(found)
-    return found
-
-
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return a scan of it.
-
-    It cuts the lineage: what was computed survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

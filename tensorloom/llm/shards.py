@@ -26,23 +26,24 @@ def size_of(text_col: str = "text") -> Column:
 def shuffled_shards(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` plus shard (int) and slot (bigint), the row's place in its shard, from 0 without gaps.
 
-    Pass 1 scatters the rows into the shards, and within a shard into buckets of about ``bucket_bytes``, by
-    seeded hashes of the id; pass 2 orders each bucket by hash, so that reruns agree, shuffles it in memory
+    Pass 1 scatters the rows into the shards, by seeded hashes of the id, and within a shard into buckets of
+    about ``bucket_bytes``, by seeded hashes of id and text; pass 2 orders each bucket by hash, so that reruns agree, shuffles it in memory
     (Fisher-Yates, ``shuffle``) and numbers it after the buckets before it. All orders of a shard are as
     likely. Columns named shard or slot are replaced; null texts count as empty, null ids as one id; rows
-    that repeat an id share its bucket; an empty table gives no rows.
+    that repeat an id share its shard, and those that repeat its text too a bucket; an empty table gives no
+    rows.
     """
     docs = docs.drop("shard", "slot")
-    spark, key = docs.sparkSession, F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    spark, key, text = docs.sparkSession, F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_of(text_col)
     total = docs.agg(F.sum(size_of(text_col))).first()[0] or 0
     buckets = max(1, math.ceil(total / n / bucket_bytes))
-    keyed = docs.select(F.struct("*").alias("row"), shard_of(key, n, seed).alias("shard"), F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(buckets)).alias("bucket"), F.xxhash64(key, F.lit(seed + 2)).alias("h"), F.xxhash64(text_of(text_col)).alias("t"))
+    keyed = docs.select(F.struct("*").alias("row"), shard_of(key, n, seed).alias("shard"), F.pmod(F.xxhash64(key, text, F.lit(seed + 1)), F.lit(buckets)).alias("bucket"), F.xxhash64(key, text, F.lit(seed + 2)).alias("h"))
     counts = keyed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n * buckets, 1_000_000))
-    scattered = keyed.repartition(parts, "shard", "bucket").sortWithinPartitions("shard", "bucket", "h", "t")
+    scattered = keyed.repartition(parts, "shard", "bucket").sortWithinPartitions("shard", "bucket", "h")
     filled = scattered.groupBy("shard", "bucket").agg(F.collect_list("row").alias("rows"))
     placed = filled.select("shard", "bucket", F.shuffle("rows", F.lit(seed)).alias("rows")).join(offsets, ["shard", "bucket"])
     return placed.select("shard", "offset", F.posexplode_outer("rows").alias("place", "row")).select("row.*", "shard", (F.col("offset") + F.col("place")).alias("slot"))

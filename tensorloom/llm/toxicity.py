@@ -68,7 +68,10 @@ def ftrl(rows: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows, id_col: str, text_col: str, label_col: str, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Sparse weights learnt from at most ``max_train`` labelled documents, those of least id hash."""
+    """Sparse weights learnt from at most ``max_train`` labelled ids, those of least hash.
+
+    If ids repeat in ``docs``, from at most four times as many rows.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & train_rows)
     known = known.groupBy("id").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select(F.xxhash64("id", "text").alias("k"), "y", "text")
