@@ -38,14 +38,22 @@ def matricize(x: SparseTensor, mode: int, transpose: int = 1) -> DataFrame:
     return x.df.select(row.alias("row"), col.alias("col"), "v")
 
 
+def dense_fiber(entries: str, n: int) -> Column:
+    """The array of n values from ``entries``, a column of (k, v) structs sorted by k: zeros fill the gaps."""
+    e = F.col(entries)
+    zeros = lambda count: F.array_repeat(F.lit(0.0), count.cast("int"))
+    before = lambda i: F.coalesce(F.get(e, i - 1)["k"], F.lit(-1).cast("bigint"))
+    filled = F.flatten(F.transform(e, lambda x, i: F.concat(zeros(x["k"] - before(i) - 1), F.array(x["v"]))))
+    return F.concat(filled, zeros(F.lit(n - 1) - before(F.size(e))))
+
+
 def to_semisparse(x: SparseTensor, mode: int) -> SemiSparseTensor:
     """``mode`` as a dense fiber; entries with equal coordinates are summed."""
     x.check_mode(mode)
     rest = x.rest(mode)
     cells = x.df.groupBy(*rest, f"i{mode}").agg(F.sum("v").alias("v"))
-    fibers = cells.groupBy(*rest).agg(F.map_from_entries(F.collect_list(F.struct(f"i{mode}", "v"))).alias("at"))
-    dense = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(x.ndims[mode] - 1).cast("bigint")), lambda k: F.coalesce(F.try_element_at("at", k), F.lit(0.0)))
-    return SemiSparseTensor(fibers.select(*rest, dense.alias("fiber")), x.ndims, mode)
+    fibers = cells.groupBy(*rest).agg(F.sort_array(F.collect_list(F.struct(F.col(f"i{mode}").alias("k"), "v"))).alias("at"))
+    return SemiSparseTensor(fibers.select(*rest, dense_fiber("at", x.ndims[mode]).alias("fiber")), x.ndims, mode)
 
 
 def from_semisparse(y: SemiSparseTensor, epsilon: float = 1e-6) -> SparseTensor:
@@ -111,10 +119,10 @@ def to_dense(x: SparseTensor) -> DataFrame:
     if x.nmodes != 2:
         raise ShapeMismatchError("a matrix has two modes")
     cells = x.df.groupBy("i0", "i1").agg(F.max("v").alias("v"))
-    rows = cells.groupBy("i0").agg(F.map_from_entries(F.collect_list(F.struct("i1", "v"))).alias("at"))
+    rows = cells.groupBy("i0").agg(F.sort_array(F.collect_list(F.struct(F.col("i1").alias("k"), "v"))).alias("at"))
     every = x.df.sparkSession.range(x.ndims[0]).withColumnRenamed("id", "row")
-    dense = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(x.ndims[1] - 1).cast("bigint")), lambda k: F.coalesce(F.try_element_at("at", k), F.lit(0.0)))
-    return every.join(rows, F.col("row") == F.col("i0"), "left").withColumn("at", F.coalesce("at", F.create_map().cast("map<bigint,double>"))).select("row", dense.alias("vals"))
+    zero = F.array_repeat(F.lit(0.0), x.ndims[1])
+    return every.join(rows, F.col("row") == F.col("i0"), "left").select("row", F.when(F.col("at").isNull(), zero).otherwise(dense_fiber("at", x.ndims[1])).alias("vals"))
 
 
 def relabel(x: SparseTensor, maps: DataFrame) -> SparseTensor:

@@ -10,18 +10,16 @@ from pyspark.sql import functions as F
 
 from tensorloom.operators import matrix
 from tensorloom.operators.products import ttm
-from tensorloom.operators.reshape import from_semisparse
+from tensorloom.operators.reshape import dense_fiber, from_semisparse, matricize
 from tensorloom.storage import materialize
 from tensorloom.tensor import SparseTensor
 
 
 def _leading(y: SparseTensor, mode: int, rank: int) -> DataFrame:
     """The leading left singular vectors of ``mode`` against the others, which are small: by their Gram matrix."""
-    from tensorloom.operators.reshape import matricize
-
     width = int(np.prod([d for k, d in enumerate(y.ndims) if k != mode]))
-    wide = matricize(y, mode, 1).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("at"))
-    rows = materialize(wide.select("row", F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint")), lambda k: F.coalesce(F.try_element_at("at", k), F.lit(0.0))).alias("vals")), "unfolded")
+    wide = matricize(y, mode, 1).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("col").alias("k"), "v"))).alias("at"))
+    rows = materialize(wide.select("row", dense_fiber("at", width).alias("vals")), "unfolded")
     values, vectors = np.linalg.eigh(matrix.gram(rows, width))
     top = vectors[:, ::-1][:, :rank] / np.sqrt(np.maximum(values[::-1][:rank], 1e-30))
     return matrix.times_small(rows, top)

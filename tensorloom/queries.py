@@ -16,10 +16,11 @@ from tensorloom.operators import order as od
 from tensorloom.operators import products as pr
 from tensorloom.operators import reduce as rd
 from tensorloom.operators import reshape as rs
-from tensorloom.plans.cpd import cpd_als, inner_df
+from tensorloom.plans.cpd import cpd_als, inner_df, model_norm_squared
 from tensorloom.sources import text
 from tensorloom.sources.generate import diagonal_tensor
 from tensorloom.storage import shared_dir
+from tensorloom.streaming.accumulate import accumulate
 from tensorloom.tensor import SemiSparseTensor, SparseTensor
 
 RANK = 4
@@ -580,3 +581,43 @@ def matrix_dump(spark, d):
     return text.matrix_lines(_emb(spark, d))
 
 
+
+
+@query(f"WITH {_S} SELECT * FROM s ORDER BY i0, i1, i2 LIMIT 1 OFFSET 100")
+def nth_entry(spark, d):
+    s = s_of(spark, d)
+    return s.df.orderBy(*s.modes).offset(100).limit(1)
+
+
+@query("SELECT a AS row, b::INT AS col, CASE WHEN a = b THEN 1 ELSE 0 END::DOUBLE AS v FROM (SELECT unnest(range(20)) AS a), (SELECT unnest(range(20)) AS b)")
+def identity_matrix(spark, d):
+    return mx.exploded(mx.identity(spark, 20))
+
+
+@query("SELECT (SELECT count(*) FROM embeddings) - 1 - vec_id AS row, " + ", ".join(f"embedding[{p + 1}]::DOUBLE AS m{p}" for p in range(RANK)) + " FROM embeddings")
+def matrix_inverse_shuffle(spark, d):
+    a = _emb(spark, d)
+    n = a.count()
+    maps = spark.range(n).select(F.lit(0).alias("mode"), (n - 1 - F.col("id")).alias("old"), F.col("id").alias("new"))
+    return _wide(mx.inverse_shuffle(a, maps, 0))
+
+
+@query("WITH n AS (SELECT " + ", ".join(f"sqrt(sum(embedding[{p + 1}]::DOUBLE ** 2)) AS l{p}" for p in range(RANK)) + " FROM embeddings) SELECT vec_id AS row, " + ", ".join(f"round(embedding[{p + 1}]::DOUBLE / l{p}, 5) AS m{p}" for p in range(RANK)) + " FROM embeddings, n")
+def normalize_norm2(spark, d):
+    wide = _wide(mx.norm2(_emb(spark, d), RANK)[0])
+    return wide.select("row", *(F.round(f"m{p}", 5).alias(f"m{p}") for p in range(RANK)))
+
+
+@query(f"WITH {_X}, {_DIM} SELECT abs(" + " + ".join(f"{(p + 1) * (q + 1)} * {_gram_sql('(SELECT d0 FROM d)', p, q)} * {_gram_sql('(SELECT d1 FROM d)', p, q)} * {_gram_sql('(SELECT d2 FROM d)', p, q)}" for p in range(2) for q in range(2)) + ")::DOUBLE AS norm_sq")
+def kruskal_norm_sq(spark, d):
+    x = x_of(spark, d)
+    return spark.createDataFrame([(model_norm_squared([1.0, 2.0], [mx.gram(u, 2) for u in _us(spark, x, 2)]),)], "norm_sq double")
+
+
+@query("SELECT user_id::BIGINT AS i0, (day(ts) - 1)::BIGINT AS i1, sum(CASE WHEN value > 0 THEN 1 ELSE 0 END)::DOUBLE AS v FROM events GROUP BY ALL")
+def streaming_accumulate(spark, d):
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(_table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    q = accumulate(stream, [F.col("user_id"), F.dayofmonth("ts") - 1], F.when(F.col("value") > 0, 1).otherwise(0), f"{path}/sums")
+    q.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/sums").groupBy("i0", "i1").agg(F.sum("v").alias("v"))
