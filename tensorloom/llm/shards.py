@@ -50,8 +50,8 @@ def shuffled_shards(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: s
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder a shard, its rows in the order of their slots."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """A folder for each shard; its files hold whole buckets, in the order of their slots."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op8_shards(spark, sf_dir: str, n: int = 40) -> DataFrame:

@@ -205,6 +205,16 @@ def test_shard_order_is_shuffled(spark):
     assert 0.4 < rises < 0.6
 
 
+def test_written_shards(spark, docs, tmp_path):
+    placed = shards.shuffled_shards(docs, 3, bucket_bytes=100_000)
+    shards.write_shards(placed, f"{tmp_path}/s")
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert sorted((r["shard"], r["slot"], str(r["text"])[:50]) for r in back.collect()) == sorted((r["shard"], r["slot"], str(r["text"])[:50]) for r in placed.collect())
+    for f in (tmp_path / "s").glob("shard=*/*.parquet"):
+        slots = pq.read_table(f)["slot"].to_pylist()
+        assert slots == sorted(slots)
+
+
 # MinHash
 
 
