@@ -24,7 +24,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_STRING = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_SWITCH = re.compile(r"(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _PURE_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _PARTS = re.compile(r"[+/_=-]+")
@@ -49,11 +50,15 @@ def known(string: str) -> bool:
 
 
 def random_spans(text: str, tokens, ratio: float, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of strings of letters and digits with fewer than ``ratio`` characters a token, outside ``base``."""
+    """Spans of strings with fewer than ``ratio`` characters a token, outside ``base``.
+
+    Strings mix letters with digits, or lower with upper case at least four times.
+    """
     found = []
     for m in _STRING.finditer(text):
         s = m[0]
-        if s.isalpha() or s.isdigit() or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s) or known(s):
+        letters, digits = any(map(str.isalpha, s)), any(map(str.isdigit, s))
+        if not (letters and (digits or len(_SWITCH.findall(s)) >= 4)) or known(s):
             continue
         if any(a <= m.start() and m.end() <= b for a, _, b in base):
             continue
@@ -73,7 +78,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """(id, spans array<struct<kind, start, end>>) for every row of ``docs``, over its whole text.
 
     Spans are in code points, end exclusive, by start and then kind in the order of KINDS: what the patterns
-    find, and, as random, further strings of 20 or more characters that take at least one token every
+    find, and, as random, further strings of 16 or more characters that take at least one token every
     ``ratio`` characters, unless they are digests, UUIDs or identifiers or lie within a pattern's span. A
     null or empty text has no spans; rows that repeat come back as often; other columns aren't read. The
     vocabulary is read by the driver and broadcast: its size doesn't depend on the documents.
