@@ -81,6 +81,12 @@ def distribute(x: SparseTensor, parts: int, mode: int = 0) -> SparseTensor:
     return x.with_df(x.df.repartitionByRange(parts, f"i{mode}"))
 
 
+def colocate(x: SparseTensor, parts: int, mode: int) -> SparseTensor:
+    """Dealt out by hash of ``mode``, to be cached: contractions of any other mode then sum without a shuffle."""
+    x.check_mode(mode)
+    return x.with_df(x.df.repartition(parts, f"i{mode}"))
+
+
 def shuffle_entries(x: SparseTensor, seed: int = 0) -> SparseTensor:
     """A random order, equal for equal seeds."""
     return x.with_df(x.df.orderBy(F.xxhash64(*x.modes, F.lit(seed)), *x.modes))
