@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import mixing, quality, shards, simhash, winnow
+from tensorloom.llm import mixing, nearcopies, quality, shards, winnow
 from tensorloom.llm.common import label_fold, materialize, table
 
 N_SHARDS = 40
@@ -17,8 +17,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each group of near-duplicates, five-word Jaccard likeness 0.8 or more, the document with the smallest id."""
+    return nearcopies.keep_one(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

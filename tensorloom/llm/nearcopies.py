@@ -1,0 +1,145 @@
+"""Near copies by likeness: MinHash bands as candidates, verified by the exact Jaccard likeness of five-word shingles."""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tensorloom.llm.common import materialize, text_of
+from tensorloom.llm.components import components
+
+NGRAM, LIKENESS = 5, 0.8
+#: At a likeness of 0.8 one of 20 bands of 5 minima agrees with probability 0.9996.
+BANDS, ROWS = 20, 5
+#: Comparisons with one hub that a task makes on average before another copy of the hub is dealt out.
+HUB = 512
+
+
+def shingles(text: bytes, ngram: int = NGRAM) -> set[bytes]:
+    """The distinct shingles of a UTF-8 text; a shorter text is one shingle, no words give none."""
+    words = text.lower().split()  # of bytes: A-Z only; splits at 0x20 and 0x09-0x0D only
+    if not words:
+        return set()
+    return {b" ".join(w) for w in zip(*(words[i:] for i in range(ngram)))} or {b" ".join(words)}
+
+
+def likeness(a: set[bytes], b: set[bytes]) -> float:
+    """|a & b| / |a | b|; two empty sets are alike."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def _factors(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = random.Random(seed)
+    mask, odd = ([draw.getrandbits(64) for _ in range(BANDS * ROWS)] for _ in range(2))
+    return np.array(mask, np.uint64), np.array(odd, np.uint64) | np.uint64(1)
+
+
+def bands(text: bytes, mask: np.ndarray, odd: np.ndarray, ngram: int = NGRAM) -> list[int]:
+    """One signed 64-bit hash for each band of ``ROWS`` minima."""
+    found = shingles(text, ngram)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in found), np.uint64, len(found))
+    least = np.full(len(mask), 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        least = np.minimum(least, ((hashes[at : at + 2048, None] ^ mask) * odd).min(axis=0))
+    rows = least.astype("<u8").reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(rows)]
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, ngram: int = NGRAM, seed: int = 1) -> DataFrame:
+    """(id, node bigint, cells array<bigint>) for every row; node is a hash of the text."""
+    mask, odd = _factors(seed)
+
+    def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in them:
+            texts = batch.column(2).cast(pa.binary())
+            cells = pa.array([bands(t.as_py(), mask, odd, ngram) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cells], names=["id", "node", "cells"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = text_of(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(batches, f"id {kind}, node bigint, cells array<bigint>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
+    """The rows of ``pairs`` (hub, node), each given once, whose ``texts`` (node, text) are alike; as (a, b)."""
+
+    def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, set()
+        for batch in them:
+            keep = []
+            for h, a, b in zip(batch.column(0), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
+                if hub != h.as_py():
+                    hub, own = h.as_py(), shingles(a.as_py(), ngram)
+                keep.append(likeness(own, shingles(b.as_py(), ngram)) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB).alias("parts"))
+    own = many.join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", F.col("text").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(many, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    rows = dealt.join(texts, "node").join(own, ["hub", "part"])
+    return rows.select("hub", "node", "own", "text").mapInArrow(batches, "a bigint, b bigint")
+
+
+def links(nodes: DataFrame, texts: DataFrame, least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
+    """(a, b) edges that connect exactly the ``nodes`` (node, cells) that share a cell and are alike.
+
+    First each cell's members are compared with one hub, the member with the most neighbours: in a group of
+    edited copies mostly the text they come from. Then all pairs that share a cell and aren't connected yet
+    are compared. ``texts`` holds (node, text) of all members, each once.
+    """
+    members = materialize(nodes.select("node", F.explode("cells").alias("cell")), "cells")
+    sizes = members.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(members.join(sizes, "cell"), "met")
+    weight = met.groupBy("node").agg(F.sum("n").alias("w"))
+    central = met.join(weight, "node")
+    hubs = central.groupBy("cell").agg(F.max(F.struct("w", "node"))["node"].alias("hub"))
+    tried = materialize(met.join(hubs, "cell").where("hub <> node").select("hub", "node").distinct(), "stars")
+    held = materialize(texts.join(met.select("node").distinct(), "node", "left_semi"), "texts")
+    edges = materialize(verified(tried, held, least, ngram), "links")
+
+    label = materialize(components(edges), "labels")
+    named = met.select("cell", "node").join(label, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell")
+    open_ = materialize(named.join(mixed, "cell"), "open")
+    x, y = open_.alias("x"), open_.alias("y")
+    rest = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct()
+    past = tried.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+    rest = materialize(rest.join(past, ["hub", "node"], "left_anti"), "pairs")
+    return edges.union(verified(rest, held, least, ngram))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
+    """(node, id, root): each distinct text's hash, the least id of its rows, and the label of its component.
+
+    Texts are linked from a likeness of ``least`` on; null texts are empty, and texts without words alike.
+    """
+    found = materialize(sketches(docs, id_col, text_col, ngram), "sketches")
+    nodes = materialize(found.groupBy("node").agg(F.min("id").alias("id"), F.first("cells").alias("cells")), "nodes")
+    # of rows that repeat a text and its least id one is read
+    text = text_of(text_col)
+    rows = docs.select(F.xxhash64(text).alias("node"), F.col(id_col).alias("own"), text.alias("text"))
+    crowd = nodes.select("node", "id", F.explode("cells").alias("cell"))
+    shared = crowd.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = crowd.join(shared, "cell", "left_semi").select("node", "id").distinct()
+    texts = rows.join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("own").eqNullSafe(F.col("id")), "left_semi").select("node", "text").dropDuplicates(["node"])
+    label = components(links(nodes.select("node", "cells"), texts, least, ngram))
+    return nodes.join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component of near copies one, of the smallest id (null as the largest).
+
+    All columns come back, whatever their names.
+    """
+    known = near_copies(docs, id_col, text_col, least, ngram)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
+    kept = materialize(known.groupBy("root").agg(first.alias("f")).select(F.col("f.node").alias("node"), F.col("f.id").alias("id")), "kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_of(text_col)).alias("node"))
+    return rows.join(kept, "node").where(F.col("own").eqNullSafe(F.col("id"))).dropDuplicates(["node"]).select("row.*")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tensorloom.llm import components, minhash, mixing, quality, secrets, shards, simhash, toxicity, urls, warc, winnow
+from tensorloom.llm import components, minhash, mixing, nearcopies, quality, secrets, shards, simhash, toxicity, urls, warc, winnow
 from tests.llm.conftest import prose, rows
 
 SF = "/root/testdata/sf0.001"
@@ -89,6 +89,41 @@ def test_keep_one(docs):
     assert len([i for i in ids if i in (5, 6, 7)]) == 1
 
 
+# Near copies by likeness
+
+
+def slow_shingles(text):
+    w = words_of(lower(text))
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)} - {""}
+
+
+def slow_alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def edited(text, k, seed):
+    w = text.split()
+    for i in range(k):
+        w[(seed * 7 + i * len(w) // k) % len(w)] = f"edit{seed}x{i}"
+    return " ".join(w)
+
+
+def test_pipeline_drops_what_is_alike(spark):
+    """Copies with spread edits, at likenesses from 0.5 on; chains of copies; a base with many copies that aren't alike among themselves."""
+    texts = [prose(s, 300) for s in range(20, 30)]
+    texts += [edited(t, k, 1) for t in texts[:10] for k in (1, 3, 5, 6, 7, 9, 20)]
+    texts += [edited(prose(40, 300), 5, s) for s in range(60)] + [prose(40, 300), prose(41, 3), prose(41, 3).upper(), prose(42, 3), "", None, " \n"]
+    sets, root = [slow_shingles(t or "") for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if slow_alike(sets[i], sets[j]) and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[4])], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, SF).collect()) == sorted({*root})
+    loose = docs.where("doc_id is null").union(docs.where("doc_id = 38").selectExpr("cast(null as bigint)", "text"))
+    assert len(corpus_pipeline.distinct(spark, loose, SF).collect()) == 1 and corpus_pipeline.distinct(spark, docs.limit(0), SF).collect() == []
+
+
 # Winnowing
 
 
