@@ -32,8 +32,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with shard and slot."""
-    return shards.shuffled_shards(docs, N_SHARDS)
+    """The documents with shard and slot, written a folder a shard."""
+    return shards.stored(shards.shuffled_shards(docs, N_SHARDS))
 
 
 STAGES = [("quality", good), ("near-duplicates", distinct), ("decontamination", clean), ("mixing", mixed), ("sharding", sharded)]

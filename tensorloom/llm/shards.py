@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import table, text_of
+from tensorloom.llm.common import materialize, shared_path, table, text_of
 
 #: Bytes that a bucket, shuffled in memory by one task, holds on average.
 BUCKET_BYTES = 8 << 20
@@ -23,28 +21,54 @@ def size_of(text_col: str = "text") -> Column:
     return (F.octet_length(text_of(text_col)) + ROW_BYTES).cast("bigint")
 
 
+def _numbered(keyed: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of the keys ``hot`` (k, h, fit), with part: their number among the key's rows, divided by fit.
+
+    Rows are numbered within blocks of 1024 a task, after the key's blocks before them, so that a part holds as many rows in every run.
+    """
+    rows = materialize(keyed.drop("part").join(F.broadcast(hot), ["k", "h"]).withColumn("block", F.shiftright(F.monotonically_increasing_id(), 10)), "hot")
+    blocks = rows.groupBy("k", "h", "block").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("k", "h").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("k", "h", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("k", "h", "block").orderBy("k")) - 1
+    return rows.withColumn("own", own).join(starts, ["k", "h", "block"]).withColumn("part", F.floor((F.col("start") + F.col("own")) / F.col("fit")))
+
+
+def scattered(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
+    """Pass 1 of ``shuffled_shards``: (row, shard, bucket, h), and the number of buckets in all shards."""
+    docs = docs.drop("shard", "slot")
+    key, text = F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_of(text_col)
+    keyed = docs.select(F.struct("*").alias("row"), shard_of(key, n, seed).alias("shard"), F.xxhash64(key, text, F.lit(seed + 1)).alias("k"), F.xxhash64(key, text, F.lit(seed + 2)).alias("h"), size_of(text_col).alias("size"))
+    keys = materialize(keyed.groupBy("shard", "k", "h").agg(F.sum("size").alias("bytes"), F.max("size").alias("size")), "keys")
+    per_shard = keys.groupBy("shard").agg(F.ceil(F.sum("bytes") / bucket_bytes).alias("buckets"))
+    buckets = sum(r["buckets"] for r in per_shard.collect())  # n rows
+    hot = keys.where((F.col("bytes") > bucket_bytes) & (F.col("bytes") > F.col("size"))).select("k", "h", F.greatest(F.lit(1), F.floor(F.lit(bucket_bytes) / F.col("size"))).alias("fit"))
+    keyed = keyed.drop("size").withColumn("part", F.lit(0).cast("bigint"))
+    if hot.limit(1).count():
+        keyed = keyed.join(hot.select("k", "h"), ["k", "h"], "left_anti").select(keyed.columns).union(_numbered(keyed, hot).select(keyed.columns))
+    placed_in = F.pmod(F.xxhash64("k", "part"), F.col("buckets"))
+    return keyed.join(F.broadcast(per_shard), "shard").select("row", "shard", placed_in.alias("bucket"), "h"), buckets
+
+
 def shuffled_shards(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` plus shard (int) and slot (bigint), the row's place in its shard, from 0 without gaps.
 
     Pass 1 scatters the rows into the shards, by seeded hashes of the id, and within a shard into buckets of
-    about ``bucket_bytes``, by seeded hashes of id and text; pass 2 orders each bucket by hash, so that reruns agree, shuffles it in memory
-    (Fisher-Yates, ``shuffle``) and numbers it after the buckets before it. All orders of a shard are as
-    likely. Columns named shard or slot are replaced; null texts count as empty, null ids as one id; rows
-    that repeat an id share its shard, and those that repeat its text too a bucket; an empty table gives no
-    rows.
+    about ``bucket_bytes``, as many as the shard's bytes ask for, by seeded hashes of id and text; pass 2
+    orders each bucket by hash, so that reruns agree, shuffles it in memory (Fisher-Yates, ``shuffle``) and
+    numbers it after the buckets before it. All orders of a shard are as likely. Columns named shard or slot
+    are replaced; null texts count as empty, null ids as one id; rows that repeat an id share its shard.
+    Those that repeat its text too share a bucket up to ``bucket_bytes`` and are scattered in parts of that
+    size beyond; an empty table gives no rows.
     """
-    docs = docs.drop("shard", "slot")
-    spark, key, text = docs.sparkSession, F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_of(text_col)
-    total = docs.agg(F.sum(size_of(text_col))).first()[0] or 0
-    buckets = max(1, math.ceil(total / n / bucket_bytes))
-    keyed = docs.select(F.struct("*").alias("row"), shard_of(key, n, seed).alias("shard"), F.pmod(F.xxhash64(key, text, F.lit(seed + 1)), F.lit(buckets)).alias("bucket"), F.xxhash64(key, text, F.lit(seed + 2)).alias("h"))
+    keyed, buckets = scattered(docs, n, id_col, text_col, seed, bucket_bytes)
     counts = keyed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n * buckets, 1_000_000))
-    scattered = keyed.repartition(parts, "shard", "bucket").sortWithinPartitions("shard", "bucket", "h")
-    filled = scattered.groupBy("shard", "bucket").agg(F.collect_list("row").alias("rows"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets, 1_000_000))
+    ordered = keyed.repartition(parts, "shard", "bucket").sortWithinPartitions("shard", "bucket", "h")
+    filled = ordered.groupBy("shard", "bucket").agg(F.collect_list("row").alias("rows"))
     placed = filled.select("shard", "bucket", F.shuffle("rows", F.lit(seed)).alias("rows")).join(offsets, ["shard", "bucket"])
     return placed.select("shard", "offset", F.posexplode_outer("rows").alias("place", "row")).select("row.*", "shard", (F.col("offset") + F.col("place")).alias("slot"))
 
@@ -54,8 +78,15 @@ def write_shards(sharded: DataFrame, path: str) -> None:
     sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
+def stored(sharded: DataFrame) -> DataFrame:
+    """``sharded`` as its folders in the shared folder give it back."""
+    path = shared_path(sharded.sparkSession, "shards")
+    write_shards(sharded, path)
+    return sharded.sparkSession.read.schema(sharded.schema).parquet(path).select(sharded.columns)
+
+
 def op8_shards(spark, sf_dir: str, n: int = 40) -> DataFrame:
-    placed = shuffled_shards(table(spark, sf_dir, "documents"), n)
+    placed = stored(shuffled_shards(table(spark, sf_dir, "documents"), n))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     text = text_of()
     return placed.select(

@@ -228,6 +228,22 @@ def test_shards(docs):
     assert sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in again) == sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in placed)
 
 
+def test_shards_scatter_a_repeated_row(spark):
+    many = spark.range(1200).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("x" * 984).alias("text"), F.col("id").alias("n"))
+    docs = many.union(spark.range(50).selectExpr("id", "repeat('y', 984)", "id + 5000"))
+    keyed, _ = shards.scattered(docs, 3, bucket_bytes=20_000)
+    assert keyed.groupBy("shard", "bucket").count().agg(F.max("count")).first()[0] <= 200
+    runs = []
+    for k in (1, 5):
+        placed = shards.stored(shards.shuffled_shards(docs.repartition(k), 3, bucket_bytes=20_000)).collect()
+        assert sorted(r["n"] for r in placed) == [*range(1200), *range(5000, 5050)]
+        for s in range(3):
+            slots = sorted(r["slot"] for r in placed if r["shard"] == s)
+            assert slots == [*range(len(slots))]
+        runs.append(sorted((r["shard"], r["slot"], r["doc_id"], r["text"]) for r in placed))
+    assert runs[0] == runs[1]
+
+
 def test_shards_grow_by_moves_into_the_new_one(spark):
     both = spark.range(3000).select(shards.shard_of(F.col("id"), 8).alias("a"), shards.shard_of(F.col("id"), 9).alias("b")).collect()
     assert all(r["a"] == r["b"] or r["b"] == 8 for r in both) and 200 < sum(r["b"] == 8 for r in both) < 480
