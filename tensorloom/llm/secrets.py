@@ -25,11 +25,13 @@ _NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_SWITCH = re.compile(r"(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _PURE_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _PARTS = re.compile(r"[+/_=-]+")
-_NAME_PART = re.compile(r"[a-z]*|[A-Z]+|([A-Z]?[a-z]+)+|[0-9]{1,8}|[a-z]+[0-9]{1,4}")
+#: A part of a delimited identifier: a word or number, or words run together; without nested quantifiers over the same letters.
+_NAME_PART = re.compile(r"[a-z]*[0-9]{0,4}|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[0-9]{1,8}")
+#: Characters of an identifier's part, at most: a longer one is a string of its own, left to the ratio.
+MAX_PART = 15
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -43,22 +45,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(string: str) -> bool:
-    """Whether a string is a digest, a UUID or an identifier: words and numbers, perhaps joined."""
+    """Whether a string is a digest, a UUID or a delimited identifier: words and numbers of up to ``MAX_PART`` characters, joined."""
     if _UUID.fullmatch(string) or len(string) in DIGESTS and _PURE_HEX.fullmatch(string):
         return True
-    return all(_NAME_PART.fullmatch(p) for p in _PARTS.split(string))
+    return all(len(p) <= MAX_PART and _NAME_PART.fullmatch(p) for p in _PARTS.split(string))
 
 
 def random_spans(text: str, tokens, ratio: float, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of strings with fewer than ``ratio`` characters a token, outside ``base``.
-
-    Strings mix letters with digits, or lower with upper case at least four times.
-    """
+    """Spans of strings with fewer than ``ratio`` characters a token, outside ``base``."""
     found = []
     for m in _STRING.finditer(text):
         s = m[0]
-        letters, digits = any(map(str.isalpha, s)), any(map(str.isdigit, s))
-        if not (letters and (digits or len(_SWITCH.findall(s)) >= 4)) or known(s):
+        if known(s):
             continue
         if any(a <= m.start() and m.end() <= b for a, _, b in base):
             continue

@@ -403,6 +403,25 @@ def test_secrets(spark):
         assert [text[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "random"] == re.findall("q7Zx9Kp2Lm8Rt4Vw6Yb1Nc3|QWx[^ ]+", text)
 
 
+def test_random_strings_of_one_case_and_long_runs():
+    import random
+    import time
+
+    draw = random.Random(5)
+    with open(secrets.VOCABULARY, "rb") as f:
+        tokens = secrets.tokenizer(f.read())
+    found = lambda t: [t[a:b] for a, _, b in secrets.random_spans(t, tokens, secrets.RATIO, [])]
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        keys = ["".join(draw.choices(letters, k=32)) for _ in range(50)]
+        assert sum(found(f"key {k} end") == [k] for k in keys) >= 48
+    for words in ("internationalization", "snake_case_name_of_a_thing_2024", "getNumberOfOpenConnections", "=" * 40, "550e8400-e29b-41d4-a716-446655440000"):
+        assert found(words) == []
+    for run in ("a" * 5000 + "12345", "aB" * 3000 + "12345", "abc-" * 3000 + "x12345", "A" * 5000 + "1"):
+        began = time.perf_counter()
+        secrets.known(run)
+        assert time.perf_counter() - began < 1
+
+
 # Classifiers
 
 
