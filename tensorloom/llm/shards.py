@@ -10,6 +10,10 @@ from tensorloom.llm.common import materialize, shared_path, table, text_of
 #: Bytes that a bucket, shuffled in memory by one task, holds on average.
 BUCKET_BYTES = 8 << 20
 ROW_BYTES = 16
+#: Tasks of the second pass at most; with more buckets than that a task shuffles several, one after another.
+MOST_TASKS = 100_000
+#: Buckets up to which their offsets are broadcast (about 40 bytes each); beyond, they are joined by shuffle.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def shard_of(key: Column, n: int, seed: int = 0) -> Column:
@@ -35,19 +39,28 @@ def _numbered(keyed: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def scattered(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """Pass 1 of ``shuffled_shards``: (row, shard, bucket, h), and the number of buckets in all shards."""
+    """Pass 1 of ``shuffled_shards``: (row, shard, bucket, index, h), and the number of buckets in all shards.
+
+    bucket numbers the buckets of a shard, index those of all shards; equal rows, null ids and texts as there.
+    """
     docs = docs.drop("shard", "slot")
     key, text = F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_of(text_col)
     keyed = docs.select(F.struct("*").alias("row"), shard_of(key, n, seed).alias("shard"), F.xxhash64(key, text, F.lit(seed + 1)).alias("k"), F.xxhash64(key, text, F.lit(seed + 2)).alias("h"), size_of(text_col).alias("size"))
     keys = materialize(keyed.groupBy("shard", "k", "h").agg(F.sum("size").alias("bytes"), F.max("size").alias("size")), "keys")
     per_shard = keys.groupBy("shard").agg(F.ceil(F.sum("bytes") / bucket_bytes).alias("buckets"))
-    buckets = sum(r["buckets"] for r in per_shard.collect())  # n rows
+    counts = {r["shard"]: r["buckets"] for r in per_shard.collect()}  # n rows
+    buckets, starts = 0, []
+    for shard, own in sorted(counts.items()):
+        starts.append((shard, own, buckets))
+        buckets += own
+    per_shard = docs.sparkSession.createDataFrame(starts, "shard int, buckets bigint, first bigint")
     hot = keys.where((F.col("bytes") > bucket_bytes) & (F.col("bytes") > F.col("size"))).select("k", "h", F.greatest(F.lit(1), F.floor(F.lit(bucket_bytes) / F.col("size"))).alias("fit"))
     keyed = keyed.drop("size").withColumn("part", F.lit(0).cast("bigint"))
     if hot.limit(1).count():
         keyed = keyed.join(hot.select("k", "h"), ["k", "h"], "left_anti").select(keyed.columns).union(_numbered(keyed, hot).select(keyed.columns))
     placed_in = F.pmod(F.xxhash64("k", "part"), F.col("buckets"))
-    return keyed.join(F.broadcast(per_shard), "shard").select("row", "shard", placed_in.alias("bucket"), "h"), buckets
+    placed = keyed.join(F.broadcast(per_shard), "shard").select("row", "shard", "first", placed_in.alias("bucket"), "h")
+    return placed.select("row", "shard", "bucket", (F.col("first") + F.col("bucket")).alias("index"), "h"), buckets
 
 
 def shuffled_shards(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -56,7 +69,8 @@ def shuffled_shards(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: s
     Pass 1 scatters the rows into the shards, by seeded hashes of the id, and within a shard into buckets of
     about ``bucket_bytes``, as many as the shard's bytes ask for, by seeded hashes of id and text; pass 2
     orders each bucket by hash, so that reruns agree, shuffles it in memory (Fisher-Yates, ``shuffle``) and
-    numbers it after the buckets before it. All orders of a shard are as likely. Columns named shard or slot
+    numbers it after the buckets before it. Which task shuffles a bucket, and so its order, follows from the
+    bucket's number alone, not from the cluster's settings. All orders of a shard are as likely. Columns named shard or slot
     are replaced; null texts count as empty, null ids as one id; rows that repeat an id share its shard.
     Those that repeat its text too share a bucket up to ``bucket_bytes`` and are scattered in parts of that
     size beyond; an empty table gives no rows.
@@ -66,15 +80,16 @@ def shuffled_shards(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: s
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets, 1_000_000))
-    ordered = keyed.repartition(parts, "shard", "bucket").sortWithinPartitions("shard", "bucket", "h")
-    filled = ordered.groupBy("shard", "bucket").agg(F.collect_list("row").alias("rows"))
+    offsets = F.broadcast(offsets) if buckets <= BROADCAST_BUCKETS else offsets
+    tasks = max(1, min(buckets, MOST_TASKS))
+    dealt = keyed.withColumn("task", F.pmod("index", F.lit(tasks)).cast("int")).repartitionById(tasks, "task").sortWithinPartitions("task", "index", "h")
+    filled = dealt.groupBy("task", "index", "shard", "bucket").agg(F.collect_list("row").alias("rows"))
     placed = filled.select("shard", "bucket", F.shuffle("rows", F.lit(seed)).alias("rows")).join(offsets, ["shard", "bucket"])
     return placed.select("shard", "offset", F.posexplode_outer("rows").alias("place", "row")).select("row.*", "shard", (F.col("offset") + F.col("place")).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """A folder for each shard; its files hold whole buckets, in the order of their slots."""
+    """A folder for each shard; its files hold whole buckets, in the order of their slots. An empty table gives an empty folder."""
     sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
@@ -86,6 +101,7 @@ def stored(sharded: DataFrame) -> DataFrame:
 
 
 def op8_shards(spark, sf_dir: str, n: int = 40) -> DataFrame:
+    """The documents' places in the written shards, as the contract of this query asks."""
     placed = stored(shuffled_shards(table(spark, sf_dir, "documents"), n))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     text = text_of()
