@@ -22,11 +22,11 @@ N_PIVOTS, SEGMENTS = 16, 4
 #: Members of one candidate cell up to which its pairs are compared; a larger cell is divided by the next, shorter segments.
 CELL = 64
 #: Near copies: words in a shingle, least Jaccard likeness, share of pairs at just that likeness that must become candidates.
-NGRAM, LIKENESS, RECALL = 5, 0.8, 0.95
+NGRAM, LIKENESS, RECALL = 5, 0.8, 0.9
 #: Standard deviations that the distance of two wide fingerprints may exceed the expected one by before they are discarded.
-SLACK = 3.5
-#: Bits of a wide fingerprint that pairs are compared on, as bigints.
-CHECKED = 4
+SLACK = 3.0
+#: Words of 64 bits of a wide fingerprint that pairs are compared on.
+CHECKED = 16
 #: Comparisons with one hub that a task makes on average before another copy of the hub is dealt out.
 HUB = 512
 
@@ -194,10 +194,10 @@ def wide_bits(hashes: np.ndarray, mask: np.ndarray, odd: np.ndarray) -> np.ndarr
 
 
 def wide_fingerprints(nodes: DataFrame, n: int, ngram: int = NGRAM, least: float = LIKENESS, seed: int = 1) -> DataFrame:
-    """(node, f0 .. f3 bigint, cells array<bigint>) for the texts of ``nodes`` (node bigint, text), of which there are ``n``.
+    """(node, f0 .. f15 bigint, cells array<bigint>) for the texts of ``nodes`` (node bigint, text), of which there are ``n``.
 
-    A cell is a hash of a segment's number and of its distances to the references' segments; f0 .. f3 are the
-    first 256 bits.
+    A cell is a hash of a segment's number and of its distances to the references' segments; f0 .. f15 are the
+    first 1024 bits.
     """
     width, segments = plan(n, least)
     draw = np.random.default_rng(seed)
@@ -261,46 +261,50 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LIKENESS, ngram:
 def near_links(wide: DataFrame, texts: DataFrame, least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
     """(a, b) edges that connect exactly the texts that share a cell of ``wide`` and are alike.
 
-    First each cell's members are compared with one hub, the member with the most neighbours: in a group of
+    Most cells hold two unlike texts that meet by chance; those pairs come out of the count of the cells. In
+    larger cells each member is first compared with one hub, the one with the most neighbours: in a group of
     edited copies mostly the text they come from. Then the pairs that share a cell and aren't connected yet are
-    compared, on the wide fingerprints where they meet, and on their shingles if they stay within ``most_bits``.
+    compared. Of all these only pairs within ``most_bits`` on the wide fingerprints are compared on their shingles.
     """
     prints = wide.drop("cells")
+    x, y, far = prints.alias("x"), prints.alias("y"), most_bits(least)
     members = wide.select("node", F.explode("cells").alias("cell"))
-    sizes = members.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(members.join(sizes, "cell"), "met")
+    sizes = materialize(members.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("node").alias("node")).where("n > 1"), "sizes")
+    met = materialize(members.join(sizes.where("n > 2").select("cell", "n"), "cell"), "met")
     weight = met.groupBy("node").agg(F.sum("n").alias("w"))
-    hubs = met.join(weight, "node").groupBy("cell").agg(F.max(F.struct("w", "node"))["node"].alias("hub"))
-    tried = met.join(hubs, "cell").where("hub <> node").select("hub", "node").distinct()
-    x, y = prints.alias("x"), prints.alias("y")
-    near = tried.alias("t").join(x, F.col("t.hub") == F.col("x.node")).join(y, F.col("t.node") == F.col("y.node")).where(_apart("x", "y") <= most_bits(least)).select("t.hub", "t.node")
-    edges = materialize(verified(materialize(near, "stars"), texts, least, ngram), "links")
+    hubs = met.join(weight, "node").groupBy("cell").agg(F.max(F.struct("w", "node")).alias("hub"))
+    best = met.join(hubs, "cell").where("hub.node <> node").groupBy("node").agg(F.max("hub")["node"].alias("hub")).select("hub", "node")
+    tried = sizes.where("n = 2").select("hub", "node").union(best).distinct()
+    near = tried.alias("t").join(x, F.col("t.hub") == F.col("x.node")).join(y, F.col("t.node") == F.col("y.node")).where(_apart("x", "y") <= far)
+    near = materialize(near.select("t.hub", "t.node"), "stars")
+    edges = materialize(verified(near, texts, least, ngram), "links")
 
     label = materialize(components(edges), "labels")
     named = met.select("cell", "node").join(label, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("cell")
+    mixed = named.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell")
     open_ = materialize(named.join(mixed, "cell").join(prints, "node"), "open")
     x, y = open_.alias("x"), open_.alias("y")
-    meet = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (_apart("x", "y") <= most_bits(least))
+    meet = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (_apart("x", "y") <= far)
     rest = x.join(y, meet).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct()
-    past = tried.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+    past = near.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
     rest = materialize(rest.join(past, ["hub", "node"], "left_anti"), "pairs")
     return edges.union(verified(rest, texts, least, ngram))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
-    """(node, id, root): each distinct text's hash, the least id of its rows, and the label of its component.
+    """(hash, id, root): each distinct text's hash, the least id of its rows, and the label of its component.
 
     Texts are linked from a Jaccard likeness of ``least`` of their distinct shingles on, A-Z lower-cased, if their
     fingerprints share a segment (``plan``); null texts are empty, and texts without words are alike; an empty
     table gives no rows.
     """
     text = text_of(text_col)
-    rows = docs.select(F.xxhash64(text).alias("node"), F.col(id_col).alias("id"), text.alias("text"))
-    texts = materialize(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("text").alias("text")), "texts")  # copies meet within tasks first
+    rows = docs.select(F.xxhash64(text).alias("hash"), F.col(id_col).alias("id"), text.alias("text"))
+    texts = rows.groupBy("hash").agg(F.min("id").alias("id"), F.first("text").alias("text"))  # copies meet within tasks first
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     wide = materialize(wide_fingerprints(texts, texts.count(), ngram, least), "wide")
     label = components(near_links(wide, texts.select("node", "text"), least, ngram))
-    return texts.select("node", "id").join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("root"))
+    return texts.select("node", "hash", "id").join(label, "node", "left").select("hash", "id", F.coalesce("label", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
@@ -310,10 +314,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     whatever their names; an empty table gives no rows.
     """
     known = near_copies(docs, id_col, text_col, least, ngram)
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
-    kept = materialize(known.groupBy("root").agg(first.alias("f")).select(F.col("f.node").alias("node"), F.col("f.id").alias("id")), "kept")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_of(text_col)).alias("node"))
-    return rows.join(kept, "node").where(F.col("own").eqNullSafe(F.col("id"))).dropDuplicates(["node"]).select("row.*")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash"))
+    kept = materialize(known.groupBy("root").agg(first.alias("f")).select(F.col("f.hash").alias("hash"), F.col("f.id").alias("id")), "kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_of(text_col)).alias("hash"))
+    return rows.join(kept, "hash").where(F.col("own").eqNullSafe(F.col("id"))).dropDuplicates(["hash"]).select("row.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
