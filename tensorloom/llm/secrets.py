@@ -15,8 +15,9 @@ from tensorloom.llm.common import table
 #: The vocabulary (ranks, base64 and number a line) and the pattern that splits texts before it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters a token below which a string is taken for a random one.
-RATIO = 2.0
+#: Characters a token below which a string is taken for a random one; of letters of one case alone, which unknown
+#: words make up too: WORD_RATIO.
+RATIO, WORD_RATIO = 2.8, 2.0
 KINDS = ("assign", "access", "hex", "random")
 DIGESTS = (32, 40, 56, 64, 96, 128)  # hex digits of MD5, SHA-1, SHA-224, -256, -384 and -512
 
@@ -24,7 +25,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_STRING = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WORDLIKE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _PURE_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _PARTS = re.compile(r"[+/_=-]+")
@@ -51,16 +53,20 @@ def known(string: str) -> bool:
     return all(len(p) <= MAX_PART and _NAME_PART.fullmatch(p) for p in _PARTS.split(string))
 
 
-def random_spans(text: str, tokens, ratio: float, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of strings with fewer than ``ratio`` characters a token, outside ``base``."""
-    found = []
+def random_spans(text: str, tokens, ratio: float, word_ratio: float, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of strings with fewer than ``ratio`` characters a token (``word_ratio`` for letters of one case), outside ``base``.
+
+    ``base`` is sorted by start; both lists are walked once.
+    """
+    found, k, reach = [], 0, -1
     for m in _STRING.finditer(text):
+        while k < len(base) and base[k][0] <= m.start():
+            reach = max(reach, base[k][2])
+            k += 1
         s = m[0]
-        if known(s):
-            continue
-        if any(a <= m.start() and m.end() <= b for a, _, b in base):
+        if m.end() <= reach or known(s):
             continue
-        if len(s) < ratio * len(tokens(s)):
+        if len(s) < (word_ratio if _WORDLIKE.fullmatch(s) else ratio) * len(tokens(s)):
             found.append((m.start(), 3, m.end()))
     return found
 
@@ -72,12 +78,13 @@ def tokenizer(ranks: bytes):
     return tiktoken.Encoding("scan", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={}).encode_ordinary
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, ratio: float = RATIO) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, ratio: float = RATIO, word_ratio: float = WORD_RATIO) -> DataFrame:
     """(id, spans array<struct<kind, start, end>>) for every row of ``docs``, over its whole text.
 
     Spans are in code points, end exclusive, by start and then kind in the order of KINDS: what the patterns
-    find, and, as random, further strings of 16 or more characters that take at least one token every
-    ``ratio`` characters, unless they are digests, UUIDs or identifiers or lie within a pattern's span. A
+    find, and, as random, further strings of 16 or more characters that take more than one token every
+    ``ratio`` characters (``word_ratio`` where they are letters of one case), unless they are digests, UUIDs or
+    identifiers or lie within a pattern's span. A
     null or empty text has no spans; rows that repeat come back as often; other columns aren't read. The
     vocabulary is read by the driver and broadcast: its size doesn't depend on the documents.
     """
@@ -93,7 +100,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             for t in batch.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + random_spans(text, tokens, ratio, base))])
+                out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + random_spans(text, tokens, ratio, word_ratio, base))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], names=["id", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -109,6 +116,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
+    """Counts and digests of the documents' spans, as the contract of this query asks."""
     found = scan(table(spark, sf_dir, "documents"))
     base = _joined(F.filter("spans", lambda s: s["kind"] != "random"))
     return found.select(F.col("id").alias("doc_id"), _count("assign"), _count("access"), _count("hex"), F.sha2(base, 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
