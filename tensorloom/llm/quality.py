@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tensorloom.llm.common import label_fold, materialize, table
 
 #: Statistics of a document, Fourier features of them, ridge penalty a row, cells of the calibration.
-STATS, FEATURES, RIDGE, CELLS = 22, 256, 1e-5, 512
+STATS, FEATURES, RIDGE, CELLS = 22, 256, 1e-6, 512
 #: The Gaussian kernel's exponent at one standard deviation in every statistic is half the square of this.
 SHARPNESS = 0.5
 #: Partitions over which the normal equations are summed, at most.
@@ -149,13 +149,12 @@ def fit(train: DataFrame) -> dict | None:
     return model
 
 
-def fitted(docs: DataFrame, labels: DataFrame, train_rows, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, dict | None]:
-    """The statistics of all documents, and the model of those with labels that meet ``train_rows``."""
-    stats = materialize(document_statistics(docs, id_col, text_col), "statistics")
+def fitted(stats: DataFrame, labels: DataFrame, train_rows, id_col: str, label_col: str) -> dict | None:
+    """The model of those of ``stats`` (id, x) with labels that meet ``train_rows``."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & train_rows)
     known = known.groupBy("id").agg(F.avg("y").alias("y"))
     train = materialize(stats.join(known, "id").select("x", "y", F.pmod(F.xxhash64("id"), F.lit(2)).cast("bigint").alias("part")), "train")
-    return stats, fit(train)
+    return fit(train)
 
 
 def score(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -166,7 +165,8 @@ def score(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id"
     has statistics, and a score, like any other; rows that repeat come back as often; without any label to
     learn from all scores are 0.5. Other columns aren't read.
     """
-    stats, model = fitted(docs, labels, train_rows, id_col, text_col, label_col)
+    stats = materialize(document_statistics(docs, id_col, text_col), "statistics")
+    model = fitted(stats, labels, train_rows, id_col, label_col)
     if model is None:
         return stats.select("id", F.lit(0.5).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -180,21 +180,32 @@ def score(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id"
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that score 0.5 or more, judged row by row as they are read, without a shuffle."""
-    _, model = fitted(docs, labels, train_rows, id_col, text_col, label_col)
+    """The rows of ``docs`` that score 0.5 or more by ``score``; all their columns, whatever their names.
+
+    Rows are written once with their statistics, from which the model is fitted and each row is judged, without
+    a shuffle of texts. Nulls, empty texts, repeated rows and rows without labels as in ``score``; ties at 0.5
+    stay; an empty table gives no rows.
+    """
+
+    @F.pandas_udf("array<float>")
+    def measured(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(statistics((t or "").encode()), np.float32) for t in texts])
+
+    rows = materialize(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), measured(F.col(text_col)).alias("x")), "measured")
+    model = fitted(rows.select("id", "x"), labels, train_rows, id_col, label_col)
     if model is None:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def good(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics((t or "").encode()) for t in texts], np.float32).astype(np.float64).reshape(-1, STATS)
-        return pd.Series(calibrated(sent.value, x))
+    def scored(x: pd.Series) -> pd.Series:
+        return pd.Series(calibrated(sent.value, np.array(x.tolist(), np.float64).reshape(-1, STATS)))
 
-    return docs.where(good(F.col(text_col)) >= 0.5)
+    return rows.where(scored(F.col("x")) >= 0.5).select("row.*")
 
 
 def op1_quality(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Scores of the documents, learnt outside the held-out third."""
     docs = table(spark, sf_dir, "documents") if docs is None else docs
     scored = score(docs, table(spark, sf_dir, "labels"), label_fold(F.col("id"), 3) != 1)
     return scored.select(F.col("id").alias("doc_id"), (label_fold(F.col("id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
