@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,14 +57,15 @@ def unchunked(data: bytes) -> bytes | None:
         at = end + 4 + size
 
 
-def records_of(row: int, page, url: str | None, digest: str, refers, payload: bytes) -> list[bytes]:
+def records_of(row: int, page, url: str | None, digest: str, refers, payload: bytes, refers_url: str | None = None) -> list[bytes]:
     """One page's records: a revisit, or a response in segments of SEGMENT bytes."""
     name = lambda k: f"<urn:sha1:{hashlib.sha1(f'{row}:{page}:{k}'.encode()).hexdigest()}>"
-    uri = "".join(c for c in url or "" if c.isprintable()) or None
+    uri = quote(url or "", safe="%!#$&'()*+,/:;=?@[]~") or None  # what a header cannot hold is percent-encoded
     common = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Page-ID", page), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if payload is None or refers is not None:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(payload or b'')}\r\n\r\n".encode()
-        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", name(1)), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To-Page-ID", refers)], block)]
+        refer = [("WARC-Refers-To-Target-URI", quote(refers_url or "", safe="%!#$&'()*+,/:;=?@[]~") or None), ("WARC-Refers-To-Date", DATE), ("WARC-Refers-To-Page-ID", refers)]
+        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", name(1)), *common, ("WARC-Profile", PROFILE), *refer], block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= SEGMENT:
         return [_record([("WARC-Type", "response"), ("WARC-Record-ID", name(1)), *common], block)]
@@ -75,20 +77,40 @@ def records_of(row: int, page, url: str | None, digest: str, refers, payload: by
     return out
 
 
+def opened(data: bytes) -> bytes:
+    """The archive without its gzip coding (any number of members); of a truncated or broken one what can be read."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out) if out or data[:2] == b"\x1f\x8b" else data
+
+
 def parsed(data: bytes) -> Iterator[tuple]:
-    """The records of an uncompressed archive, as in _FIELDS."""
+    """The records of an uncompressed archive, as in _FIELDS.
+
+    What cannot be read as a record ends the archive: it comes back as one record of kind ``broken``, and so
+    does a record that is cut short.
+    """
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
-        size = int(head["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        number, total = head.get("WARC-Segment-Number"), head.get("WARC-Segment-Total-Length")
+        end = data.find(b"\r\n\r\n", at)
+        head = dict(line.partition(": ")[::2] for line in data[at : max(at, end)].decode("utf-8", "replace").split("\r\n")[1:])
+        size, number, total = (head.get(k, "") for k in ("Content-Length", "WARC-Segment-Number", "WARC-Segment-Total-Length"))
+        name, kind = head.get("WARC-Record-ID"), head.get("WARC-Type")
+        block = data[end + 4 : end + 4 + int(size)] if end >= 0 and size.isdecimal() else b""
+        if not (size.isdecimal() and name and kind and len(block) == int(size)):
+            yield ("broken", name, name, None, None, head.get("WARC-Page-ID"), None, None, b"")
+            return
         yield (
-            head["WARC-Type"], head["WARC-Record-ID"], head.get("WARC-Segment-Origin-ID", head["WARC-Record-ID"]), int(number) if number else None, int(total) if total else None,
+            kind, name, head.get("WARC-Segment-Origin-ID", name), int(number) if number.isdecimal() else None, int(total) if total.isdecimal() else None,
             head.get("WARC-Page-ID"), head.get("WARC-Payload-Digest"), head.get("WARC-Refers-To-Page-ID"), block,
         )
-        at = end + 4 + size + 4
+        at = end + 4 + int(size) + 4
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> None:
@@ -101,16 +123,16 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
-    narrow = rows.select("page", "sha1", F.length("payload").alias("n")).distinct()
-    first = narrow.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.min("page").alias("first"))
-    refers = narrow.join(first, "sha1").where(~F.col("page").eqNullSafe(F.col("first"))).select(F.col("page").alias("_page"), F.col("sha1").alias("_sha1"), "first")
-    marked = rows.join(refers, F.col("page").eqNullSafe(F.col("_page")) & (F.col("sha1") == F.col("_sha1")), "left").select("page", "url", "sha1", "payload", "first")
+    narrow = rows.groupBy("page", "sha1").agg(F.first(F.length("payload")).alias("n"), F.min("url").alias("url"))
+    first = narrow.where((F.col("n") >= least_bytes) & F.col("page").isNotNull()).groupBy("sha1").agg(F.min(F.struct("page", "url")).alias("f")).select("sha1", F.col("f.page").alias("first"), F.col("f.url").alias("first_url"))
+    refers = narrow.join(first, "sha1").where(~F.col("page").eqNullSafe(F.col("first"))).select(F.col("page").alias("_page"), F.col("sha1").alias("_sha1"), "first", "first_url")
+    marked = rows.join(refers, F.col("page").eqNullSafe(F.col("_page")) & (F.col("sha1") == F.col("_sha1")), "left").select("page", "url", "sha1", "payload", "first", "first_url")
     marked = marked.withColumn("row", F.monotonically_increasing_id())
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
-            for page, url, sha1, payload, first, row in zip(*(c for c in batch.columns)):
-                found = records_of(row.as_py(), page.as_py(), url.as_py(), base32_sha1(sha1.as_py()), first.as_py(), payload.as_py())
+            for page, url, sha1, payload, first, first_url, row in zip(*batch.columns):
+                found = records_of(row.as_py(), page.as_py(), url.as_py(), base32_sha1(sha1.as_py()), first.as_py(), payload.as_py(), first_url.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["value"])
 
     # A record ends with two line ends: what the text writer puts after each row.
@@ -124,14 +146,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Continuations meet their first segment by its record id, are ordered by number and joined; valid says
     that the numbers have no gap, the joined length is the total given by the last, the chunked framing is
     whole and the digest is that of the payload. A revisit has no payload; its length and digest are those
-    given. Only records in segments are shuffled.
+    given. Only records in segments are shuffled. A record that is broken or cut short comes back as invalid, of
+    type ``broken``, and ends its archive; an empty folder gives no rows. Fields this reader doesn't know are
+    ignored.
     """
 
     def records(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
             for content in batch.column(0):
                 data = content.as_py()
-                found = list(parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
+                found = list(parsed(opened(data)))
                 for i in range(0, len(found), 256):
                     kinds = [pa.string()] * 3 + [pa.int32(), pa.int64()] + [pa.string()] * 3 + [pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[i : i + 256]), kinds)], names=[f.split()[0] for f in _FIELDS.split(", ")])
@@ -144,7 +168,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
     whole = (F.col("total") == F.col("length")) & (F.col("last") == F.col("n")) & (F.col("distinct") == F.col("n")) & F.col("kind").isNotNull()
     joined = parts.select("kind", "page", "digest", "refers", F.transform("parts", lambda p: p["block"]).alias("blocks"), F.coalesce(whole, F.lit(False)).alias("whole"))
-    single = found.where("segment is null").select("kind", "page", "digest", "refers", F.array("block").alias("blocks"), F.lit(True).alias("whole"))
+    single = found.where("segment is null").select("kind", "page", "digest", "refers", F.array("block").alias("blocks"), (F.col("kind") != "broken").alias("whole"))
 
     def decoded(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
@@ -157,7 +181,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     payload = unchunked(body)
                     whole, payload = whole and payload is not None, payload or b""
                 own = digest.removeprefix("sha1:") if digest else None
-                if kind == "revisit":
+                if kind == "broken":
+                    out.append((page, None, None, None, kind, None, False))
+                elif kind == "revisit":
                     out.append((page, None, int(fields.get("Content-Length", 0)), own, kind, refers, whole))
                 else:
                     sha1 = base32_sha1(hashlib.sha1(payload).hexdigest())
@@ -170,6 +196,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
+    """The pages as written archives give them back, as the contract of this query asks."""
     path = shared_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
     return read(spark, path).select(
