@@ -26,7 +26,7 @@ def _range(n: Column) -> Column:
 
 
 def _hash_at(hashes: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(F.lit(n), *(F.get(hashes, at + i) for i in range(n)))
+    return F.xxhash64(F.lit(n), *(F.get(hashes, at + i) for i in range(n))).bitwiseAND(F.lit(-2).cast("bigint"))  # even: odd ones mark documents
 
 
 def _row(pos: Column, code: Column, n: Column, before: Column, context: Column) -> Column:
@@ -85,7 +85,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     text = text_of(text_col)
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), words(text).alias("w"))
-    mark = _row(F.lit(-1), F.lit(None).cast("bigint"), F.lit(0), F.lit(0), F.array().cast("array<string>"))
+    mark = _row(F.lit(-1), F.xxhash64("id", "text_hash").bitwiseOR(F.lit(1).cast("bigint")), F.lit(0), F.lit(0), F.array().cast("array<string>"))
     ours = winnowed(own, short, False).select("id", "text_hash", "nw", F.explode_outer(F.concat(F.array(mark), F.col("prints"))).alias("d"))
     ours = ours.select("id", "text_hash", "nw", F.col("d.code").alias("code"), "d")
 
@@ -117,13 +117,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any occurring window of ``items``; all their columns, whatever their names."""
+    """The rows of ``docs`` without any occurring window of ``items``; all their columns, whatever their names.
+
+    Nulls, empty texts, repeated rows and empty tables as in ``contamination``: what has no words stays.
+    """
     bad = contamination(docs, items, id_col, text_col, item_col, item_text).where(F.size("items") > 0).select("id", F.col("text_hash").alias("bad_text"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_of(text_col)).alias("text_hash"))
     return rows.join(bad, F.col("own").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("bad_text")), "left_anti").select("row.*")
 
 
 def op10_winnow(spark, sf_dir: str) -> DataFrame:
+    """Each document's words in benchmark windows, as the contract of this query asks."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]), F.lit(0)).cast("bigint")
     return found.select(
