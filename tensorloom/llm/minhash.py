@@ -116,6 +116,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and their edited texts, as the contract of this query asks."""
     found = edited_fingerprints(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"), F.char_length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_hex("fp").alias("fingerprint"),

@@ -40,6 +40,7 @@ def _positions(h1: np.ndarray, h2: np.ndarray, level: int, hashes: int, bits: in
 
 
 def passes(h1: np.ndarray, h2: np.ndarray, level: int, one: tuple[int, int, np.ndarray]) -> np.ndarray:
+    """Which keys, given by their two hashes, pass the filter ``one`` (bits, hashes, words) of ``level``."""
     bits, hashes, words = one
     at = _positions(h1, h2, level, hashes, bits)
     return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool).all(axis=1)
@@ -82,11 +83,12 @@ def build(listed: DataFrame, universe: DataFrame) -> list[tuple[int, int, np.nda
     Level 0 encodes the listed keys, level 1 the universe's other keys that pass it, level 2 the listed keys
     that pass level 1, and so on until none is left. The first level's false-positive rate is the share of
     listed keys in the universe times the square root of a half, the others' a half: the levels hold a few
-    bits for each listed key and binary digit of that share.
+    bits for each listed key and binary digit of that share. Null keys don't count, keys that repeat count once;
+    an empty list gives an empty cascade, which holds no key. A filter of over MOST_BITS is refused.
     """
     spark = listed.sparkSession
-    yes = materialize(listed.select("key", *hashes_of(F.col("key"))).distinct(), "listed")
-    others = materialize(universe.select("key").distinct().join(yes.select("key"), "key", "left_anti").select("key", *hashes_of(F.col("key"))), "universe")
+    yes = materialize(listed.where("key is not null").select("key", *hashes_of(F.col("key"))).distinct(), "listed")
+    others = materialize(universe.where("key is not null").select("key").distinct().join(yes.select("key"), "key", "left_anti").select("key", *hashes_of(F.col("key"))), "universe")
     n, m = yes.count(), others.count()
     inside, outside, cascade = yes, others, []
     while n:
@@ -157,6 +159,7 @@ def judge(urls: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 
 
 def op2_urls(spark, sf_dir: str) -> DataFrame:
+    """The pages' verdicts, as the contract of this query asks."""
     return judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
