@@ -62,8 +62,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--blocks", type=int, nargs=2, metavar=("SB", "SK"))
     p = command("generate", "output", out=False)
-    p.add_argument("density", type=float)
-    p.add_argument("dims", type=int, nargs="+")
+    p.add_argument("dims", nargs="+", metavar="[RATE%]DIM", help="with a rate: the share of the mode's indices that is used")
     p = command("diagonal", "output", out=False)
     p.add_argument("dim", type=int)
     return top
@@ -81,11 +80,17 @@ def sorted_as(x, how: str, mode: int):
     return order.sort_custom(x, (best_mode_order if how == "best" else worst_mode_order)(x.ndims, mode))
 
 
+def rated(dim: str) -> tuple[float, int]:
+    """``50%1024`` as (0.5, 1024); without a rate all indices."""
+    rate, sign, size = dim.rpartition("%")
+    return (float(rate) / 100 if sign else 1.0), int(size)
+
+
 def run(spark: SparkSession, argv: list[str]) -> str:
     """Does what ``argv`` says; returns what there is to print."""
     a = parser().parse_args(argv)
     if a.command in ("generate", "diagonal"):
-        made = generate.random_tensor(spark, a.dims, a.density) if a.command == "generate" else generate.diagonal_tensor(spark, a.dim)
+        made = generate.rated_tensor(spark, [rated(d) for d in a.dims]) if a.command == "generate" else generate.diagonal_tensor(spark, a.dim)
         text.write_tns(made, a.output, a.start_index)
         return ""
     x, timer, said = text.read_tns(spark, a.x, a.start_index), Timer(), []

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.errors import TensorValueError
-from tensorloom.operators.order import with_pos
+from tensorloom.functions.keys import morton
+from tensorloom.operators.positions import with_pos
 from tensorloom.operators.products import mttkrp
 from tensorloom.tensor import SparseTensor, mode_names
 
@@ -46,29 +47,29 @@ def to_hicoo(x: SparseTensor, sb_bits: int = 7, sk_bits: int = 10) -> HiCOO:
     return HiCOO(df, x.ndims, sb_bits, sk_bits)
 
 
-def to_coo(h: HiCOO) -> SparseTensor:
-    cells = h.df.select(*h.blocks, F.explode("elems").alias("e"))
+def entries(h: HiCOO, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep``, i0.., v): the entries, with kernel coordinates as further columns."""
+    cells = h.df.select(*keep, *h.blocks, F.explode("elems").alias("e"))
     cols = [(F.shiftleft(b, h.sb_bits) + F.col(f"e.e{k}")).alias(m) for k, (b, m) in enumerate(zip(h.blocks, mode_names(len(h.ndims))))]
-    return SparseTensor(cells.select(*cols, F.col("e.v").alias("v")), h.ndims)
+    return cells.select(*keep, *cols, F.col("e.v").alias("v"))
+
+
+def to_coo(h: HiCOO) -> SparseTensor:
+    return SparseTensor(entries(h), h.ndims)
 
 
 def kernel_pointers(h: HiCOO) -> DataFrame:
     """(k0.., kid, nnz, kptr, blocks): kernels in order, with their first entry's position."""
     kernels = h.df.groupBy(*h.kernels).agg(F.sum("nnz").alias("nnz"), F.count("*").alias("blocks"))
-    ranked = with_pos(kernels, h.kernels).withColumnRenamed("pos", "kid")
-    before = Window.orderBy("kid").rowsBetween(Window.unboundedPreceding, -1)  # a row a kernel: at most one for 2^sk indices of each mode
-    return ranked.withColumn("kptr", F.coalesce(F.sum("nnz").over(before), F.lit(0)).cast("bigint"))
+    return with_pos(kernels, h.kernels, {"kptr": "nnz"}).withColumnRenamed("pos", "kid")
 
 
 def block_pointers(h: HiCOO) -> DataFrame:
-    """(kid, bid, b0.., nnz, bptr): blocks in the order of kernel and block coordinates, with their first entry's position."""
-    kernels = kernel_pointers(h)
-    first = Window.orderBy("kid").rowsBetween(Window.unboundedPreceding, -1)
-    kernels = kernels.withColumn("_first", F.coalesce(F.sum("blocks").over(first), F.lit(0))).select(*h.kernels, "kid", "kptr", "_first")
-    within = Window.partitionBy("kid").orderBy(*h.blocks)
-    joined = h.df.drop("elems").join(kernels, h.kernels)
-    ahead = F.coalesce(F.sum("nnz").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return joined.withColumn("bid", (F.col("_first") + F.row_number().over(within) - 1).cast("bigint")).withColumn("bptr", (F.col("kptr") + ahead).cast("bigint")).select("kid", "bid", *h.blocks, "nnz", "bptr")
+    """(kid, bid, b0.., nnz, bptr): blocks by kernel and within a kernel in Z-order, with their first entry's position."""
+    width = max(1, max((d - 1) >> h.sb_bits for d in h.ndims).bit_length())
+    ranked = with_pos(h.df.drop("elems"), [*map(F.col, h.kernels), *morton([F.col(b) for b in h.blocks], width)], {"bptr": "nnz"})
+    kernels = kernel_pointers(h).select(*h.kernels, "kid")
+    return ranked.join(kernels, h.kernels).select("kid", F.col("pos").alias("bid"), *h.blocks, "nnz", "bptr")
 
 
 def chunk_pointers(h: HiCOO, bits: int = CHUNK_BITS) -> DataFrame:
@@ -93,14 +94,29 @@ def schedule(h: HiCOO) -> DataFrame:
     return rows.groupBy("mode", "k").agg(F.sort_array(F.collect_list("kid")).alias("kids"), F.count("*").alias("n"))
 
 
+#: Bytes of a value, an element's offset, a block's coordinate, a pointer into the entries and an index in the format.
+VALUE_BYTES, OFFSET_BYTES, BLOCK_BYTES, POINTER_BYTES, INDEX_BYTES = 4, 1, 4, 8, 4
+
+
 def status(h: HiCOO) -> DataFrame:
-    """A row: blocks, kernels, entries; most, least, average (floored), median and geometric mean of a block; alpha."""
-    side = float(1 << h.sb_bits)
-    return h.df.agg(
+    """A row: blocks, kernels, chunks, entries; most, least, average (floored), median and geometric mean of a block;
+    alpha; bytes of the format; for each mode the kernel coordinates (kdim) and the most kernels that share one (kiters).
+    """
+    side, n = float(1 << h.sb_bits), len(h.ndims)
+    of_blocks = h.df.agg(
         F.count("*").alias("nb"), F.count_distinct(*h.kernels).alias("nk"), F.sum("nnz").alias("nnz"), F.max("nnz").alias("max_nnzb"), F.min("nnz").alias("min_nnzb"),
         F.floor(F.sum("nnz") / F.count("*")).alias("avg_nnzb"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY nnz)").cast("bigint").alias("median_nnzb"),
         F.round(F.exp(F.avg(F.log(F.col("nnz") / side))), 6).alias("geo_mean"), F.round(F.count("*") / F.sum("nnz"), 6).alias("alpha_b"),
     )
+    chunks = chunk_pointers(h).agg(F.count("*").alias("nc"))
+    kernels = h.df.select(*h.kernels).distinct().select(F.posexplode(F.array(*h.kernels)).alias("mode", "k"))
+    shared = kernels.groupBy("mode", "k").agg(F.count("*").alias("n")).groupBy().agg(*(F.max(F.when(F.col("mode") == m, F.col("n"))).alias(f"kiters{m}") for m in range(n)))
+    kdim = [-(-d // (1 << h.sk_bits)) for d in h.ndims]
+    entries = F.col("nnz") * (VALUE_BYTES + n * OFFSET_BYTES) + F.col("nb") * n * BLOCK_BYTES
+    pointers = (F.col("nb") + F.col("nk") + F.col("nc") + 3) * POINTER_BYTES
+    scheduled = F.col("nk") * n * INDEX_BYTES + (sum(kdim) + n) * 8 + n * INDEX_BYTES
+    whole = of_blocks.crossJoin(chunks).crossJoin(shared)  # a row each
+    return whole.select("*", (entries + pointers + scheduled).alias("bytes"), *(F.lit(d).cast("bigint").alias(f"kdim{m}") for m, d in enumerate(kdim)))
 
 
 def norm_squared_df(h: HiCOO) -> DataFrame:
@@ -112,9 +128,15 @@ def hicoo_mttkrp(h: HiCOO, factors, mode: int, rank: int, dense: bool = True) ->
     return mttkrp(to_coo(h), factors, mode, rank, dense)
 
 
-def by_superblock(h: HiCOO, mode: int, parts: int) -> HiCOO:
-    """Blocks dealt out by the kernel coordinate of ``mode``: all that adds to one output row meets in a task."""
-    return HiCOO(h.df.repartition(parts, f"k{mode}"), h.ndims, h.sb_bits, h.sk_bits)
+def hicoo_mttkrp_scheduled(h: HiCOO, factors, mode: int, rank: int, dense: bool = True) -> DataFrame:
+    """From blocks dealt out by the kernel coordinate of ``mode``: all that adds to one output row meets in a task.
+
+    Sums are grouped by that coordinate and the row, which the dealing satisfies: the blocks are shuffled once,
+    packed, and no sums are.
+    """
+    parts = int(h.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = HiCOO(h.df.repartition(parts, f"k{mode}"), h.ndims, h.sb_bits, h.sk_bits)
+    return mttkrp(to_coo(h), factors, mode, rank, dense, dealt=entries(dealt, (f"k{mode}",)), by=(f"k{mode}",))
 
 
 def block_end(first: int, sb_bits: int, dim: int) -> int:

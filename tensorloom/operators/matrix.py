@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tensorloom.errors import ShapeMismatchError
 from tensorloom.functions.vectors import resize
 
+#: Rank up to which a Gram matrix is one row of aggregates.
+GRAM_WIDE = 32
+
 
 def constant(spark: SparkSession, nrows: int, ncols: int, value: float) -> DataFrame:
     return spark.range(nrows).select(F.col("id").alias("row"), F.array_repeat(F.lit(float(value)), ncols).alias("vals"))
@@ -64,9 +67,21 @@ def gram_df(a: DataFrame, rank: int) -> DataFrame:
     return a.agg(*(F.coalesce(F.sum(F.col("vals")[p] * F.col("vals")[q]), F.lit(0.0)).alias(f"g_{p}_{q}") for p in range(rank) for q in range(p, rank)))
 
 
+def gram_entries(a: DataFrame, rank: int) -> DataFrame:
+    """(p, q, v) for p <= q: the upper triangle of A'A as rows, for any rank; summed within tasks first."""
+    row = lambda p: F.transform(F.slice("vals", p + 1, rank), lambda y, i: F.struct(p.alias("p"), (p + i).alias("q"), (F.get("vals", p) * y).alias("v")))
+    cells = a.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), row))).alias("c"))
+    return cells.groupBy("c.p", "c.q").agg(F.sum("c.v").alias("v"))
+
+
 def gram(a: DataFrame, rank: int) -> np.ndarray:
-    r = gram_df(a, rank).first()
+    """A'A in the driver: one aggregate a product up to rank GRAM_WIDE, rows beyond."""
     out = np.zeros((rank, rank))
+    if rank > GRAM_WIDE:
+        for r in gram_entries(a, rank).collect():  # rank by rank
+            out[r["p"], r["q"]] = out[r["q"], r["p"]] = r["v"]
+        return out
+    r = gram_df(a, rank).first()
     for p in range(rank):
         for q in range(p, rank):
             out[p, q] = out[q, p] = r[f"g_{p}_{q}"]

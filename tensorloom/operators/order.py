@@ -4,29 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.errors import TensorValueError
 from tensorloom.functions.keys import morton
+from tensorloom.operators.positions import with_pos
 from tensorloom.operators.reshape import relabel
 from tensorloom.storage import materialize
-from tensorloom.tensor import SparseTensor
-
-
-def with_pos(df: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
-    """``df`` plus pos, its place, from 0, in the order of ``keys``.
-
-    Rows are range-partitioned and counted by partition; no task sees all of them. The sorted rows are
-    written once, so that the partitions counted are those numbered.
-    """
-    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranked = materialize(df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumn("_m", F.monotonically_increasing_id()), "sorted")
-    ranked = ranked.withColumn("_p", F.shiftright("_m", 33))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    offsets = ranked.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    return ranked.join(F.broadcast(offsets), "_p").withColumn("pos", F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_o")
+from tensorloom.tensor import SemiSparseTensor, SparseTensor
 
 
 def sort_custom(x: SparseTensor, order: Sequence[int], force: bool = False) -> SparseTensor:
@@ -48,6 +34,11 @@ def sort_at_mode(x: SparseTensor, mode: int, force: bool = False) -> SparseTenso
     return sort_custom(x, [*(k for k in range(x.nmodes) if k != mode), mode], force)
 
 
+def sort_semisparse(y: SemiSparseTensor) -> SemiSparseTensor:
+    """Fibers by their sparse modes, in order."""
+    return SemiSparseTensor(y.df.orderBy(*y.rest), y.ndims, y.mode)
+
+
 def except_mode_keys(x: SparseTensor, mode: int) -> list[str]:
     return x.rest(mode)
 
@@ -116,28 +107,30 @@ def lexi_order(x: SparseTensor, mode: int) -> DataFrame:
     return with_pos(keyed, ["key", "old"]).select(F.lit(mode).alias("mode"), "old", F.col("pos").alias("new"))
 
 
-def bfs_order(x: SparseTensor, mode: int, rounds: int = 1000) -> DataFrame:
+def bfs_order(x: SparseTensor, mode: int) -> DataFrame:
     """(mode, old, new): indices of ``mode`` by breadth-first levels over the tuples of the other modes they share.
 
-    Levels start at the most frequent index (the smallest of several); indices never reached follow those
-    reached. Within a level more frequent indices come first, then smaller ones. Each level is one join of
-    its indices to their tuples and back.
+    In every component levels start at its most frequent index (the smallest of several). Components come by
+    the frequency of that index, then by the index; within a component lower levels come first, within a level
+    more frequent indices, then smaller ones; unused indices come last. A round hands (start, level) on from the
+    indices that changed, to their tuples and back, until none changes: as many as there are levels, or, while
+    starts of a component still compete, up to its longest shortest path.
     """
     x.check_mode(mode)
     rest, own = x.rest(mode), f"i{mode}"
     links = materialize(x.df.select(F.col(own).alias("old"), F.xxhash64(*rest).alias("edge")).distinct(), "links")
     degree = links.groupBy("old").agg(F.count("*").alias("n"))
-    start = degree.orderBy(F.desc("n"), "old").limit(1).select("old", F.lit(0).alias("level"))
-    seen = materialize(start, "levels")
-    front, level = seen, 0
-    while level < rounds and front.limit(1).count():
-        level += 1
-        edges = links.join(front.select("old"), "old", "left_semi").select("edge").distinct()
-        near = links.join(edges, "edge", "left_semi").select("old").distinct().join(seen.select("old"), "old", "left_anti")
-        front = materialize(near.select("old", F.lit(level).alias("level")), "levels")
-        seen = seen.unionByName(front)
-    every = x.df.sparkSession.range(x.ndims[mode]).withColumnRenamed("id", "old").join(degree, "old", "left").join(seen, "old", "left")
-    keys = [F.coalesce("level", F.lit(2**31 - 1)), F.coalesce(F.col("n"), F.lit(0)).desc(), F.col("old")]
+    state = materialize(degree.select("old", F.struct((-F.col("n")).alias("rare"), F.col("old").alias("start"), F.lit(0).alias("level")).alias("at")), "levels")
+    front = state
+    further = lambda s: F.struct(s["rare"].alias("rare"), s["start"].alias("start"), (s["level"] + 1).alias("level"))
+    while front.limit(1).count():
+        edges = links.join(front, "old").groupBy("edge").agg(F.min("at").alias("at"))
+        near = links.join(edges, "edge").groupBy("old").agg(F.min(further(F.col("at"))).alias("new"))
+        changed = materialize(state.join(near, "old").where("new < at").select("old", F.col("new").alias("at")), "front")
+        state = materialize(state.join(changed.withColumnRenamed("at", "new"), "old", "left").select("old", F.coalesce("new", "at").alias("at")), "levels")
+        front = changed
+    every = x.df.sparkSession.range(x.ndims[mode]).withColumnRenamed("id", "old").join(degree, "old", "left").join(state, "old", "left")
+    keys = [F.col("at").isNull(), F.col("at.rare"), F.col("at.start"), F.col("at.level"), F.col("n").desc(), F.col("old")]
     return with_pos(every, keys).select(F.lit(mode).alias("mode"), "old", F.col("pos").alias("new"))
 
 

@@ -15,6 +15,8 @@ from tensorloom.tensor import SemiSparseTensor, SparseTensor, bounded
 WIDE = 64
 #: Entries that a Kronecker product may have without being told otherwise.
 MOST_ENTRIES = 10**9
+#: Entries of a matrix up to which it is sent whole to a fiber's task (a megabyte).
+IN_PLACE = 1 << 17
 
 
 def ttm(x: SparseTensor, u: DataFrame, mode: int, nrows: int, ncols: int) -> SemiSparseTensor:
@@ -40,27 +42,41 @@ def ttv(x: SparseTensor, w: DataFrame, mode: int, length: int) -> SemiSparseTens
     return ttm(x, w.select(F.col("pos").alias("row"), F.array("v").alias("vals")), mode, length, 1)
 
 
+def spark_matrix(u: DataFrame, nrows: int, ncols: int) -> DataFrame:
+    """One row: ``u`` (row, vals) as an array of its columns, rows that are missing as zeros."""
+    every = u.sparkSession.range(nrows).withColumnRenamed("id", "row").join(u.select("row", "vals"), "row", "left")
+    rows = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("row", F.coalesce("vals", F.array_repeat(F.lit(0.0), ncols)).alias("vals")))), lambda r: r["vals"]).alias("_rows"))
+    column = lambda k: F.transform("_rows", lambda r: r[k])
+    return rows.select(F.array(*map(column, range(ncols))).alias("_columns"))
+
+
 def sttm(y: SemiSparseTensor, u: DataFrame, mode: int, nrows: int, ncols: int) -> SemiSparseTensor:
-    """The dense mode of a semi-sparse tensor times U."""
+    """The dense mode of a semi-sparse tensor times U: fiber by fiber where U is small (no shuffle), else entry by entry."""
     if mode != y.mode:
         raise ShapeMismatchError(f"mode {mode}, but mode {y.mode} is dense")
     if nrows != y.ndims[mode]:
         raise ShapeMismatchError(f"{nrows} rows for a mode of {y.ndims[mode]}")
+    if nrows * ncols <= IN_PLACE:
+        columns = spark_matrix(u, nrows, ncols)
+        dot = lambda c: F.aggregate(F.zip_with("fiber", c, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
+        met = y.df.crossJoin(F.broadcast(columns)).select(*y.rest, F.transform("_columns", dot).alias("fiber"))
+        return SemiSparseTensor(met, tuple(ncols if k == mode else d for k, d in enumerate(y.ndims)), mode)
     cells = y.df.select(*y.rest, F.posexplode("fiber").alias(f"i{mode}", "v")).withColumn(f"i{mode}", F.col(f"i{mode}").cast("bigint"))
     return ttm(SparseTensor(cells, y.ndims), u, mode, nrows, ncols)
 
 
-def mttkrp(x: SparseTensor, factors: Sequence[DataFrame | None], mode: int, rank: int, dense: bool = True, order: Sequence[int] | None = None) -> DataFrame:
+def mttkrp(x: SparseTensor, factors: Sequence[DataFrame | None], mode: int, rank: int, dense: bool = True, order: Sequence[int] | None = None, dealt: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(row, vals): M[i, r] = sum over entries with index i of v times the other factors' values of column r.
 
     ``factors``: (row, vals) for each mode (that of ``mode`` isn't read). They join in ``order``, broadcast
     where their known size allows. The aggregate is partial before its shuffle, so a hot index costs a row a
-    task and column. dense: rows without entries are zero; else they are left out.
+    task and column. dense: rows without entries are zero; else they are left out. dealt: the
+    entries with further columns ``by``, which the row determines and by which they are dealt out already.
     """
     x.check_mode(mode)
     if len(factors) != x.nmodes:
         raise ShapeMismatchError(f"{len(factors)} factors for {x.nmodes} modes")
-    df, names = x.df, []
+    df, names = x.df if dealt is None else dealt, []
     for k in order or [(mode + j) % x.nmodes for j in range(1, x.nmodes)]:
         if k == mode:
             continue
@@ -68,7 +84,7 @@ def mttkrp(x: SparseTensor, factors: Sequence[DataFrame | None], mode: int, rank
         df = df.join(bounded(factors[k].select(F.col("row").alias(f"i{k}"), F.col("vals").alias(f"_u{k}")), x.ndims[k], rank), f"i{k}")
     key = F.col(f"i{mode}").alias("row")
     if rank <= WIDE:
-        out = df.groupBy(key).agg(F.array(*(F.sum(reduce(lambda a, n: a * F.col(n)[r], names, F.col("v"))) for r in range(rank))).alias("vals"))
+        out = df.groupBy(*by, key).agg(F.array(*(F.sum(reduce(lambda a, n: a * F.col(n)[r], names, F.col("v"))) for r in range(rank))).alias("vals")).select("row", "vals")
     else:
         products = reduce(lambda a, n: F.zip_with(a, F.col(n), lambda p, q: p * q), names[1:], F.transform(names[0], lambda p: p * F.col("v")))
         cells = df.select(key, F.posexplode(products).alias("_r", "s")).groupBy("row", "_r").agg(F.sum("s").alias("s"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.errors import ShapeMismatchError, TensorValueError
+from tensorloom.operators.positions import with_pos
 from tensorloom.tensor import SemiSparseTensor, SparseTensor, bounded, mode_names
 
 
@@ -84,33 +85,17 @@ def append(y: SemiSparseTensor, entries: DataFrame) -> SemiSparseTensor:
     return to_semisparse(SparseTensor(last, y.ndims), y.mode)
 
 
-def _starts(df: DataFrame, keys: list[str], count: str, out: str) -> DataFrame:
-    """``df`` (a row a group) plus its ordinal and the running count before it, by ``keys``.
-
-    Counts run within ranges of the first key and over the ranges' totals: no task sees all groups.
-    """
-    span = F.floor(F.col(keys[0]) / F.lit(1024))
-    df = df.withColumn("_span", span)
-    totals = df.groupBy("_span").agg(F.sum(count).alias("_n"), F.count("*").alias("_g"))
-    across = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 1024 indices
-    totals = totals.select("_span", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"), F.coalesce(F.sum("_g").over(across), F.lit(0)).alias("_ahead"))
-    within = Window.partitionBy("_span").orderBy(*keys)
-    df = df.withColumn("_own", F.coalesce(F.sum(count).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_rank", F.row_number().over(within))
-    joined = df.join(totals, "_span")
-    return joined.withColumn("pos", (F.col("_ahead") + F.col("_rank") - 1).cast("bigint")).withColumn(out, (F.col("_before") + F.col("_own")).cast("bigint")).drop("_span", "_own", "_rank", "_before", "_ahead")
-
-
 def fiber_index(x: SparseTensor, mode: int) -> DataFrame:
     """(rest modes, nnz, pos, fiberidx): the fibers of ``mode``, in order, with their first entry's position."""
     x.check_mode(mode)
     rest = x.rest(mode)
-    return _starts(x.df.groupBy(*rest).agg(F.count("*").alias("nnz")), rest, "nnz", "fiberidx")
+    return with_pos(x.df.groupBy(*rest).agg(F.count("*").alias("nnz")), rest, {"fiberidx": "nnz"})
 
 
 def to_csr(y: SemiSparseTensor) -> DataFrame:
     """(row, rowptr, cols, vals): a row a fiber, in order, with all columns."""
     n = y.ndims[y.mode]
-    ranked = _starts(y.df.withColumn("_c", F.lit(n)), y.rest, "_c", "rowptr")
+    ranked = with_pos(y.df, y.rest).withColumn("rowptr", F.col("pos") * n)
     return ranked.select(F.col("pos").alias("row"), "rowptr", F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")).alias("cols"), F.col("fiber").alias("vals"))
 
 
@@ -170,8 +155,7 @@ def reindex(x: SparseTensor) -> SparseTensor:
     """Used indices renumbered from 0 in order, modes with one index dropped, coinciding entries summed."""
     df, modes = x.df, []
     for k, m in enumerate(x.modes):
-        used = df.groupBy(m).agg(F.count("*").alias("_c"))
-        ranks = _starts(used, [m], "_c", "_s").select(m, F.col("pos").alias(f"_{m}"))
+        ranks = with_pos(df.select(m).distinct(), [m]).select(m, F.col("pos").alias(f"_{m}"))
         n = ranks.count()
         if n > 1:
             modes.append((F.col(f"_{m}"), n))

@@ -18,12 +18,14 @@ from tensorloom.operators import reduce as rd
 from tensorloom.operators import reshape as rs
 from tensorloom.plans.cpd import cpd_als, inner_df, model_norm_squared
 from tensorloom.sources import text
-from tensorloom.sources.generate import diagonal_tensor
+from tensorloom.sources.generate import diagonal_tensor, rated_tensor
 from tensorloom.storage import shared_dir
 from tensorloom.streaming.accumulate import accumulate
 from tensorloom.tensor import SemiSparseTensor, SparseTensor
 
 RANK = 4
+#: Columns of the embeddings.
+WIDTH = 64
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -360,28 +362,32 @@ def hicoo_mttkrp(spark, d):
 
 @query(_mttkrp_sql(_S, "s", 0))
 def hicoo_mttkrp_scheduled(spark, d):
-    h = hi.by_superblock(hi.to_hicoo(s_of(spark, d), 2, 4), 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return _wide(hi.hicoo_mttkrp(h, [u_of(spark, n) for n in h.ndims], 0, RANK))
+    h = hi.to_hicoo(s_of(spark, d), 2, 4)
+    return _wide(hi.hicoo_mttkrp_scheduled(h, [u_of(spark, n) for n in h.ndims], 0, RANK))
 
 
-_SMALL = "a AS (SELECT * FROM x WHERE i0 < 12), c AS (SELECT * FROM x WHERE i0 >= 6 AND i0 < 15)"
+def _small(spark, d) -> tuple[SparseTensor, SparseTensor]:
+    """All lines' quantities and numbers by year, line number and return flag: small by nature, however many lines."""
+    rows = _table(spark, d, "lineitem")
+    modes = [F.year("l_shipdate") - 1995, F.col("l_linenumber") - 1, F.ascii("l_returnflag") - 65]
+    ndims = tuple(x + 1 for x in rows.agg(*(F.max(m.cast("bigint")) for m in modes)).first())
+    return SparseTensor.from_dataframe(rows, modes, "l_quantity", ndims), SparseTensor.from_dataframe(rows, modes, F.lit(1), ndims, how="count")
 
 
-def _halves(spark, d):
-    x = x_of(spark, d)
-    whole = x.ndims
-    return rs.subtensor(x, (0, 0, 0), (12, *whole[1:])), rs.subtensor(x, (6, 0, 0), (15, *whole[1:]))
+_SMALL = (
+    "t AS (SELECT (year(l_shipdate) - 1995)::BIGINT AS i0, (l_linenumber - 1)::BIGINT AS i1, (ascii(l_returnflag) - 65)::BIGINT AS i2, sum(l_quantity)::DOUBLE AS v, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), "
+    "d AS (SELECT max(i0) + 1 AS d0, max(i1) + 1 AS d1, max(i2) + 1 AS d2 FROM t)"
+)
 
 
-@query(f"WITH {_X}, {_DIM}, {_SMALL} SELECT a.i0 * d0 + c.i0 AS i0, a.i1 * d1 + c.i1 AS i1, i2, a.v * c.v AS v FROM a JOIN c USING (i2), d")
+@query(f"WITH {_SMALL} SELECT a.i0 * d0 + c.i0 AS i0, a.i1 * d1 + c.i1 AS i1, i2, a.v * c.n AS v FROM t a JOIN t c USING (i2), d")
 def khatri_rao(spark, d):
-    return pr.khatri_rao(*_halves(spark, d)).df
+    return pr.khatri_rao(*_small(spark, d)).df
 
 
-@query(f"WITH {_X}, {_DIM}, a AS (SELECT * FROM x WHERE i0 < 3), c AS (SELECT * FROM x WHERE i0 >= 3 AND i0 < 5) SELECT a.i0 * d0 + c.i0 AS i0, a.i1 * d1 + c.i1 AS i1, a.i2 * d2 + c.i2 AS i2, a.v * c.v AS v FROM a, c, d")
+@query(f"WITH {_SMALL} SELECT a.i0 * d0 + c.i0 AS i0, a.i1 * d1 + c.i1 AS i1, a.i2 * d2 + c.i2 AS i2, a.v * c.n AS v FROM t a, t c, d")
 def kronecker(spark, d):
-    x = x_of(spark, d)
-    return pr.kronecker(rs.subtensor(x, (0, 0, 0), (3, *x.ndims[1:])), rs.subtensor(x, (3, 0, 0), (5, *x.ndims[1:]))).df
+    return pr.kronecker(*_small(spark, d)).df
 
 
 def _sorted(name: str, keys, sql: str) -> None:
@@ -392,8 +398,8 @@ def _sorted(name: str, keys, sql: str) -> None:
     Q[name], SQL[name] = run, f"WITH {_S} SELECT *, row_number() OVER (ORDER BY {sql}) - 1 AS pos FROM s"
 
 
-def _morton_sql(bits: int) -> str:
-    return "(" + " | ".join(f"(((i{k} >> {b}) & 1) << {3 * b + 2 - k})" for b in range(bits) for k in range(3)) + ")"
+def _morton_sql(bits: int, of: str = "i") -> str:
+    return "(" + " | ".join(f"((({of}{k} >> {b}) & 1) << {3 * b + 2 - k})" for b in range(bits) for k in range(3)) + ")"
 
 
 _sorted("sort_lexi", lambda s: s.modes, "i0, i1, i2")
@@ -459,12 +465,26 @@ def hicoo_kernels(spark, d):
     return hi.kernel_pointers(hi.to_hicoo(s_of(spark, d), 2, 4))
 
 
-@query(f"WITH {_S}, {_HB}, {_K} SELECT kid, row_number() OVER w - 1 AS bid, b0, b1, b2, b.nnz, coalesce(sum(b.nnz) OVER (ORDER BY kid, b0, b1, b2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bptr FROM b JOIN kp USING (k0, k1, k2) WINDOW w AS (ORDER BY kid, b0, b1, b2)")
+_BP = (
+    "bp AS (SELECT kid, row_number() OVER w - 1 AS bid, b0, b1, b2, b.nnz, coalesce(sum(b.nnz) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bptr "
+    f"FROM b JOIN kp USING (k0, k1, k2) WINDOW w AS (ORDER BY kid, {_morton_sql(20, 'b')}))"
+)
+
+
+@query(f"WITH {_S}, {_HB}, {_K}, {_BP} SELECT * FROM bp")
 def hicoo_bptr(spark, d):
     return hi.block_pointers(hi.to_hicoo(s_of(spark, d), 2, 4))
 
 
-@query()
+def _chunks(bits: int) -> str:
+    """Block by block within each kernel: s says that a chunk starts there, n how much it holds so far."""
+    return (
+        "n AS (SELECT kid, bid, nnz, row_number() OVER (PARTITION BY kid ORDER BY bid) AS k FROM bp), "
+        f"c AS (SELECT kid, bid, k, true AS s, nnz AS n FROM n WHERE k = 1 UNION ALL SELECT n.kid, n.bid, n.k, c.n >= {1 << bits}, CASE WHEN c.n >= {1 << bits} THEN 0 ELSE c.n END + n.nnz FROM c JOIN n ON n.kid = c.kid AND n.k = c.k + 1)"
+    )
+
+
+@query(f"WITH RECURSIVE {_S}, {_HB}, {_K}, {_BP}, {_chunks(4)} SELECT kid, (row_number() OVER (PARTITION BY kid ORDER BY bid) - 1)::INT AS cid, bid AS first_block FROM c WHERE s")
 def hicoo_chunks(spark, d):
     return hi.chunk_pointers(hi.to_hicoo(s_of(spark, d), 2, 4), 4)
 
@@ -474,34 +494,41 @@ def hicoo_schedule(spark, d):
     return hi.schedule(hi.to_hicoo(s_of(spark, d), 2, 4)).select("mode", "k", F.array_join("kids", ",").alias("kids"), "n")
 
 
-@query(f"WITH {_S}, {_HB} SELECT count(*)::BIGINT AS nb, count(DISTINCT (k0, k1, k2))::BIGINT AS nk, sum(nnz)::BIGINT AS nnz, max(nnz) AS max_nnzb, min(nnz) AS min_nnzb, (sum(nnz) // count(*))::BIGINT AS avg_nnzb, quantile_disc(nnz, 0.5)::BIGINT AS median_nnzb, round(exp(avg(ln(nnz / 4.0::DOUBLE))), 6) AS geo_mean, round(count(*) / sum(nnz)::DOUBLE, 6) AS alpha_b FROM b")
+_STATUS = (
+    "q AS (SELECT count(*)::BIGINT AS nb, count(DISTINCT (k0, k1, k2))::BIGINT AS nk, sum(nnz)::BIGINT AS nnz, max(nnz) AS max_nnzb, min(nnz) AS min_nnzb, (sum(nnz) // count(*))::BIGINT AS avg_nnzb, "
+    "quantile_disc(nnz, 0.5)::BIGINT AS median_nnzb, round(exp(avg(ln(nnz / 4.0::DOUBLE))), 6) AS geo_mean, round(count(*) / sum(nnz)::DOUBLE, 6) AS alpha_b FROM b), "
+    "m AS (SELECT count(*)::BIGINT AS nc FROM c WHERE s), "
+    "w AS (SELECT " + ", ".join(f"(SELECT max(n) FROM (SELECT count(*)::BIGINT AS n FROM kp GROUP BY k{k})) AS kiters{k}, (SELECT (max(i{k}) >> 4) + 1 FROM s) AS kdim{k}" for k in range(3)) + ")"
+)
+
+
+@query(f"WITH RECURSIVE {_S}, {_HB}, {_K}, {_BP}, {_chunks(14)}, {_STATUS} SELECT *, (nnz * 7 + nb * 12 + (nb + nk + nc + 3) * 8 + nk * 12 + (kdim0 + kdim1 + kdim2 + 3) * 8 + 12)::BIGINT AS bytes FROM q, m, w")
 def hicoo_status(spark, d):
     return hi.status(hi.to_hicoo(s_of(spark, d), 2, 4))
 
 
 def _emb(spark, d):
-    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.transform(F.slice("embedding", 1, RANK), lambda x: x.cast("double")).alias("vals"))
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.transform("embedding", lambda x: x.cast("double")).alias("vals"))
 
 
-@query("SELECT " + ", ".join(f"round(sum(embedding[{p + 1}]::DOUBLE * embedding[{q + 1}]::DOUBLE), 6) AS g_{p}_{q}" for p in range(RANK) for q in range(p, RANK)) + " FROM embeddings")
+@query(f"SELECT p::INT AS p, q::INT AS q, round(sum(embedding[p + 1]::DOUBLE * embedding[q + 1]::DOUBLE), 6) AS v FROM embeddings, range({WIDTH}) a(p), range({WIDTH}) b(q) WHERE p <= q GROUP BY p, q")
 def gram(spark, d):
-    g = mx.gram_df(_emb(spark, d), RANK)
-    return g.select(*(F.round(c, 6).alias(c) for c in g.columns))
+    return mx.gram_entries(_emb(spark, d), WIDTH).select("p", "q", F.round("v", 6).alias("v"))
 
 
-@query("SELECT " + ", ".join(f"round(sqrt(sum(embedding[{p + 1}]::DOUBLE ** 2)), 6) AS l{p}" for p in range(RANK)) + " FROM embeddings")
+@query("SELECT " + ", ".join(f"round(sqrt(sum(embedding[{p + 1}]::DOUBLE ** 2)), 6) AS l{p}" for p in range(WIDTH)) + " FROM embeddings")
 def col_norm2(spark, d):
-    return mx.col_norms_df(_emb(spark, d), RANK).select(*(F.round(F.col("lambda")[p], 6).alias(f"l{p}") for p in range(RANK)))
+    return mx.col_norms_df(_emb(spark, d), WIDTH).select(*(F.round(F.col("lambda")[p], 6).alias(f"l{p}") for p in range(WIDTH)))
 
 
-@query("SELECT " + ", ".join(f"greatest(1, max(embedding[{p + 1}]::DOUBLE))::DOUBLE AS l{p}" for p in range(RANK)) + " FROM embeddings")
+@query("SELECT " + ", ".join(f"greatest(1, max(embedding[{p + 1}]::DOUBLE))::DOUBLE AS l{p}" for p in range(WIDTH)) + " FROM embeddings")
 def col_maxnorm(spark, d):
-    return mx.col_maxima_df(_emb(spark, d), RANK).select(*(F.col("lambda")[p].alias(f"l{p}") for p in range(RANK)))
+    return mx.col_maxima_df(_emb(spark, d), WIDTH).select(*(F.col("lambda")[p].alias(f"l{p}") for p in range(WIDTH)))
 
 
-@query("SELECT vec_id AS row, " + ", ".join(f"embedding[{p + 1}]::DOUBLE * embedding[{p + 1}]::DOUBLE AS m{p}" for p in range(RANK)) + " FROM embeddings")
+@query("SELECT vec_id AS row, " + ", ".join(f"embedding[{p + 1}]::DOUBLE * embedding[{p + 1}]::DOUBLE AS m{p}" for p in range(WIDTH)) + " FROM embeddings")
 def matrix_dot_mul(spark, d):
-    return _wide(mx.dot_mul(_emb(spark, d), _emb(spark, d)))
+    return _wide(mx.dot_mul(_emb(spark, d), _emb(spark, d)), WIDTH)
 
 
 def _gram_sql(n: str, p: int, q: int) -> str:
@@ -555,15 +582,24 @@ def crop(spark, d):
     return rs.crop(s_of(spark, d), ["5:50", "-", ":"]).df
 
 
-@query(f"WITH {_S}, c AS (SELECT * FROM s WHERE i0 % 3 = 0 AND i2 = 2) SELECT dense_rank() OVER (ORDER BY i0) - 1 AS i0, dense_rank() OVER (ORDER BY i1) - 1 AS i1, v FROM c")
+_O = "o AS (SELECT l_orderkey::BIGINT AS i0, (l_partkey * 3)::BIGINT AS i1, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY ALL)"
+
+
+@query(f"WITH {_O} SELECT dense_rank() OVER (ORDER BY i0) - 1 AS i0, dense_rank() OVER (ORDER BY i1) - 1 AS i1, v FROM o")
 def reindex(spark, d):
-    s = s_of(spark, d)
-    return rs.reindex(s.with_df(s.df.where("i0 % 3 = 0 AND i2 = 2"))).df
+    return rs.reindex(_lines(spark, d, modes=[F.col("l_orderkey"), F.col("l_partkey") * 3])).df
 
 
-@query("SELECT i AS i0, i + s AS i1, i + s AS i2, 1.0::DOUBLE AS v FROM (SELECT unnest(range(1000)) AS i) CROSS JOIN (SELECT unnest([-10, -1, 0, 1, 10]) AS s) WHERE i + s BETWEEN 0 AND 999")
+@query("SELECT i AS i0, i + a AS i1, i + b AS i2 FROM range(1000) r(i), (VALUES (-9, 0), (0, -9), (0, 0), (0, 9), (9, 0)) s(a, b) WHERE i + a BETWEEN 0 AND 999 AND i + b BETWEEN 0 AND 999")
 def diagonal(spark, d):
-    return diagonal_tensor(spark, 1000).df
+    """Where the stencil's entries lie; its values are random."""
+    return diagonal_tensor(spark, 1000).df.drop("v")
+
+
+@query("SELECT a AS i0, 15::BIGINT AS n FROM range(40) r(a)")
+def generated_rates(spark, d):
+    """Entries by first index: every one draws half of 10 and, for each of these, 3 of 30."""
+    return rated_tensor(spark, [(1.0, 40), (0.5, 10), (0.1, 30)]).df.groupBy("i0").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_X} SELECT i0, i1, i2, sum(v) AS v FROM x GROUP BY CUBE (i0, i1, i2)")
@@ -576,7 +612,7 @@ def top_k(spark, d):
     return rd.top_k(s_of(spark, d), 20).df
 
 
-@query("SELECT vec_id AS row, array_to_string([printf('%.2f', embedding[k]::DOUBLE) for k in range(1, 5)], chr(9)) AS line FROM embeddings")
+@query("SELECT vec_id AS row, array_to_string([printf('%.2f', embedding[k]::DOUBLE) for k in range(1, 65)], chr(9)) AS line FROM embeddings")
 def matrix_dump(spark, d):
     return text.matrix_lines(_emb(spark, d))
 
@@ -594,18 +630,18 @@ def identity_matrix(spark, d):
     return mx.exploded(mx.identity(spark, 20))
 
 
-@query("SELECT (SELECT count(*) FROM embeddings) - 1 - vec_id AS row, " + ", ".join(f"embedding[{p + 1}]::DOUBLE AS m{p}" for p in range(RANK)) + " FROM embeddings")
+@query("SELECT (SELECT count(*) FROM embeddings) - 1 - vec_id AS row, " + ", ".join(f"embedding[{p + 1}]::DOUBLE AS m{p}" for p in range(WIDTH)) + " FROM embeddings")
 def matrix_inverse_shuffle(spark, d):
     a = _emb(spark, d)
     n = a.count()
     maps = spark.range(n).select(F.lit(0).alias("mode"), (n - 1 - F.col("id")).alias("old"), F.col("id").alias("new"))
-    return _wide(mx.inverse_shuffle(a, maps, 0))
+    return _wide(mx.inverse_shuffle(a, maps, 0), WIDTH)
 
 
-@query("WITH n AS (SELECT " + ", ".join(f"sqrt(sum(embedding[{p + 1}]::DOUBLE ** 2)) AS l{p}" for p in range(RANK)) + " FROM embeddings) SELECT vec_id AS row, " + ", ".join(f"round(embedding[{p + 1}]::DOUBLE / l{p}, 5) AS m{p}" for p in range(RANK)) + " FROM embeddings, n")
+@query("WITH n AS (SELECT " + ", ".join(f"sqrt(sum(embedding[{p + 1}]::DOUBLE ** 2)) AS l{p}" for p in range(WIDTH)) + " FROM embeddings) SELECT vec_id AS row, " + ", ".join(f"round(embedding[{p + 1}]::DOUBLE / l{p}, 5) AS m{p}" for p in range(WIDTH)) + " FROM embeddings, n")
 def normalize_norm2(spark, d):
-    wide = _wide(mx.norm2(_emb(spark, d), RANK)[0])
-    return wide.select("row", *(F.round(f"m{p}", 5).alias(f"m{p}") for p in range(RANK)))
+    wide = _wide(mx.norm2(_emb(spark, d), WIDTH)[0], WIDTH)
+    return wide.select("row", *(F.round(f"m{p}", 5).alias(f"m{p}") for p in range(WIDTH)))
 
 
 @query(f"WITH {_X}, {_DIM} SELECT abs(" + " + ".join(f"{(p + 1) * (q + 1)} * {_gram_sql('(SELECT d0 FROM d)', p, q)} * {_gram_sql('(SELECT d1 FROM d)', p, q)} * {_gram_sql('(SELECT d2 FROM d)', p, q)}" for p in range(2) for q in range(2)) + ")::DOUBLE AS norm_sq")

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests, local mode) a temporary folder."""
+    """``spark.checkpoint.dir``; only where it is unset, in local mode, a temporary folder. A cluster without it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     found = tempfile.mkdtemp(prefix="tensorloom-")
     spark.sparkContext.setCheckpointDir(found)
     return found

@@ -155,12 +155,3 @@ class SemiSparseTensor:
     @property
     def rest(self) -> list[str]:
         return [m for k, m in enumerate(mode_names(len(self.ndims))) if k != self.mode]
-
-
-@dataclass
-class GeneralSemiSparseTensor:
-    """Several dense modes: ``df`` holds the sparse modes and ``fiber``, the dense block flattened, last mode fastest."""
-
-    df: DataFrame
-    ndims: tuple[int, ...]
-    dense: tuple[int, ...]

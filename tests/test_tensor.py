@@ -241,6 +241,25 @@ def test_renumbering_permutes_and_inverts(spark, a, how):
     assert (dense(reshape.relabel(y, reshape.invert_map(maps))) == a).all()
 
 
+def test_bfs_order_is_by_components_and_levels(spark):
+    """A long chain and a star, indices apart, against a plain search."""
+    edges = [(k + j, k) for k in range(0, 40) for j in (0, 1)] + [(50 + k, 100) for k in range(5)] + [(50, 101), (50, 102), (50, 103)]
+    x = SparseTensor(spark.createDataFrame([(i, e, 1.0) for i, e in edges], "i0 bigint, i1 bigint, v double"), (60, 110))
+    n = {i: sum(a == i for a, _ in edges) for i, _ in edges}
+    left, want = {*n}, []
+    while left:
+        front, seen = [min(left, key=lambda i: (-n[i], i))], []
+        while front:
+            seen += sorted(front, key=lambda i: (-n[i], i))
+            near = {e for i, e in edges if i in front}
+            front = [i for i in {i for i, e in edges if e in near} if i not in seen]
+        want += seen
+        left -= {*seen}
+    want += [i for i in range(60) if i not in n]
+    found = {r["new"]: r["old"] for r in order.bfs_order(x, 0).collect()}
+    assert [found[k] for k in range(60)] == want
+
+
 def test_lexi_order_refines(spark, a):
     found = {r["old"]: r["new"] for r in order.lexi_order(sparse(spark, a), 0).collect()}
     hit = lambda i: tuple(int(not v) for v in (a[i] != 0).ravel())
@@ -258,6 +277,14 @@ def test_hicoo(spark, a):
     kids = {(r["k0"], r["k1"], r["k2"]): r["kid"] for r in kernels}
     for r in hicoo.schedule(h).collect():
         assert r["kids"] == sorted(v for k, v in kids.items() if k[r["mode"]] == r["k"])
+    z = lambda r: sum((r[f"b{m}"] >> b & 1) << 3 * b + 2 - m for b in range(9) for m in range(3))
+    assert [r["bid"] for r in sorted(blocks, key=lambda r: (r["kid"], z(r)))] == list(range(len(blocks)))
+    assert [r["bptr"] for r in blocks] == [sum(q["nnz"] for q in blocks[:k]) for k in range(len(blocks))]
+    s = hicoo.status(h).first()
+    assert s["nc"] == hicoo.chunk_pointers(h).count() and s["kdim0"] == -(-DIMS[0] // 4)
+    us = [matrix.randomize(spark, d, 3, k) for k, d in enumerate(DIMS)]
+    one, two = ({r["row"]: r["vals"] for r in f(h, us, 1, 3).collect()} for f in (hicoo.hicoo_mttkrp, hicoo.hicoo_mttkrp_scheduled))
+    assert all(np.allclose(one[k], two[k]) for k in one) and {*one} == {*two}
     want, last, n = [], None, 0
     for r in blocks:
         if r["kid"] != last or n >= 2:
@@ -368,7 +395,12 @@ def test_generators(spark):
     x.check_bounds()
     values = np.array([r[-1] for r in x.entries()])
     assert abs(values.mean()) < 0.2 and 0.8 < values.std() < 1.2
-    assert generate.diagonal_tensor(spark, 27).nnz == 27 + 2 * 26 + 2 * 24
+    cells = {tuple(r[:-1]) for r in generate.diagonal_tensor(spark, 28).entries()}
+    assert cells == {(i, i + a, i + b) for i in range(28) for a, b in ((-3, 0), (0, -3), (0, 0), (0, 3), (3, 0)) if 0 <= i + a < 28 and 0 <= i + b < 28}
+    rated = generate.rated_tensor(spark, [(1, 6), (0.25, 10), (0.5, 4)], 3)
+    assert rated.entries() == generate.rated_tensor(spark, [(1, 6), (0.25, 10), (0.5, 4)], 3).entries() and len({r[:-1] for r in map(tuple, rated.entries())}) == rated.nnz
+    drawn = [len({r[1] for r in rated.entries() if r[0] == k}) for k in range(6)]
+    assert {*drawn} <= {2, 3} and rated.nnz == 2 * sum(drawn)
     assert 0.6 < reduce.density(generate.random_tensor(spark, (20, 20), 0.7)) < 0.8
 
 
