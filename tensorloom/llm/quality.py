@@ -182,26 +182,22 @@ def score(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id"
 def keep_good(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs`` that score 0.5 or more by ``score``; all their columns, whatever their names.
 
-    Rows are written once with their statistics, from which the model is fitted and each row is judged, without
-    a shuffle of texts. Nulls, empty texts, repeated rows and rows without labels as in ``score``; ties at 0.5
+    Statistics are written for the fit, and taken again row by row as texts are read: neither texts nor rows are
+    shuffled or written. Nulls, empty texts, repeated rows and rows without labels as in ``score``; ties at 0.5
     stay; an empty table gives no rows.
     """
-
-    @F.pandas_udf("array<float>")
-    def measured(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(statistics((t or "").encode()), np.float32) for t in texts])
-
-    rows = materialize(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), measured(F.col(text_col)).alias("x")), "measured")
-    model = fitted(rows.select("id", "x"), labels, train_rows, id_col, label_col)
+    stats = materialize(document_statistics(docs, id_col, text_col), "statistics")
+    model = fitted(stats, labels, train_rows, id_col, label_col)
     if model is None:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(x: pd.Series) -> pd.Series:
-        return pd.Series(calibrated(sent.value, np.array(x.tolist(), np.float64).reshape(-1, STATS)))
+    def scored(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics((t or "").encode()) for t in texts], np.float32).astype(np.float64).reshape(-1, STATS)
+        return pd.Series(calibrated(sent.value, x))
 
-    return rows.where(scored(F.col("x")) >= 0.5).select("row.*")
+    return docs.where(scored(F.col(text_col)) >= 0.5)
 
 
 def op1_quality(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
