@@ -193,8 +193,8 @@ def wide_bits(hashes: np.ndarray, mask: np.ndarray, odd: np.ndarray) -> np.ndarr
     return (2 * ones > len(hashes)).astype(np.uint8)
 
 
-def wide_fingerprints(nodes: DataFrame, n: int, ngram: int = NGRAM, least: float = LIKENESS, seed: int = 1) -> DataFrame:
-    """(node, f0 .. f15 bigint, cells array<bigint>) for the texts of ``nodes`` (node bigint, text), of which there are ``n``.
+def wide_fingerprints(rows: DataFrame, n: int, ngram: int = NGRAM, least: float = LIKENESS, seed: int = 1) -> DataFrame:
+    """(hash, id, f0 .. f15 bigint, cells array<bigint>) for ``rows`` (hash bigint, id, text), of which there are ``n``.
 
     A cell is a hash of a segment's number and of its distances to the references' segments; f0 .. f15 are the
     first 1024 bits.
@@ -210,7 +210,7 @@ def wide_fingerprints(nodes: DataFrame, n: int, ngram: int = NGRAM, least: float
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
             first, cells = [], []
-            for text in batch.column(1).cast(pa.binary()):
+            for text in batch.column(2).cast(pa.binary()):
                 bits = wide_bits(_hashes({*shingles(text.as_py(), ngram)}, 42), mask, odd)
                 first.append(np.packbits(bits[: 64 * CHECKED]).view(np.int64))
                 away = (bits[: width * segments].reshape(segments, width).astype(np.float32) @ signs).astype(np.int64).view(np.uint64)
@@ -219,9 +219,10 @@ def wide_fingerprints(nodes: DataFrame, n: int, ngram: int = NGRAM, least: float
             columns = [pa.array(c) for c in np.array(first).reshape(-1, CHECKED).T]
             flat = pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32) * segments), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, lists], names=["node", *words, "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, lists], names=["hash", "id", *words, "cells"])
 
-    return nodes.select("node", "text").mapInArrow(batches, f"node bigint, {', '.join(f'{w} bigint' for w in words)}, cells array<bigint>")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("hash", "id", "text").mapInArrow(batches, f"hash bigint, id {kind}, {', '.join(f'{w} bigint' for w in words)}, cells array<bigint>")
 
 
 def most_bits(least: float) -> int:
@@ -234,8 +235,11 @@ def _apart(x: str, y: str) -> Column:
     return reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{x}.f{i}").bitwiseXOR(F.col(f"{y}.f{i}"))) for i in range(CHECKED)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
-    """The rows of ``pairs`` (hub, node), each given once, whose ``texts`` (node, text) are alike by exact Jaccard likeness; as (a, b)."""
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
+    """The rows of ``pairs`` (hub, node), each given once, whose texts are alike by exact Jaccard likeness; as (a, b).
+
+    ``nodes``: (node, hash); ``rows``: (hash, text), whose copies meet within tasks first.
+    """
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, set()
@@ -250,7 +254,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LIKENESS, ngram:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
-    texts = materialize(texts.join(wanted, "node", "left_semi"), "held")
+    wanted = nodes.select("node", "hash").join(wanted, "node")
+    texts = materialize(rows.select("hash", "text").join(wanted, "hash").groupBy("node").agg(F.first("text").alias("text")), "held")
     many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB).alias("parts"))
     own = many.join(texts.withColumnRenamed("node", "hub"), "hub").select("hub", F.col("text").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dealt = pairs.join(many, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
@@ -258,15 +263,15 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LIKENESS, ngram:
     return rows.select("hub", "node", "own", "text").mapInArrow(batches, "a bigint, b bigint")
 
 
-def near_links(wide: DataFrame, texts: DataFrame, least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
-    """(a, b) edges that connect exactly the texts that share a cell of ``wide`` and are alike.
+def near_links(wide: DataFrame, rows: DataFrame, least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
+    """(a, b) edges that connect exactly the texts of ``wide`` (node, hash, f0.., cells) that share a cell and are alike; ``rows`` holds (hash, text).
 
     Most cells hold two unlike texts that meet by chance; those pairs come out of the count of the cells. In
     larger cells each member is first compared with one hub, the one with the most neighbours: in a group of
     edited copies mostly the text they come from. Then the pairs that share a cell and aren't connected yet are
     compared. Of all these only pairs within ``most_bits`` on the wide fingerprints are compared on their shingles.
     """
-    prints = wide.drop("cells")
+    prints = wide.drop("cells", "hash", "id")
     x, y, far = prints.alias("x"), prints.alias("y"), most_bits(least)
     members = wide.select("node", F.explode("cells").alias("cell"))
     sizes = materialize(members.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.max("node").alias("node")).where("n > 1"), "sizes")
@@ -277,7 +282,7 @@ def near_links(wide: DataFrame, texts: DataFrame, least: float = LIKENESS, ngram
     tried = sizes.where("n = 2").select("hub", "node").union(best).distinct()
     near = tried.alias("t").join(x, F.col("t.hub") == F.col("x.node")).join(y, F.col("t.node") == F.col("y.node")).where(_apart("x", "y") <= far)
     near = materialize(near.select("t.hub", "t.node"), "stars")
-    edges = materialize(verified(near, texts, least, ngram), "links")
+    edges = materialize(verified(near, wide, rows, least, ngram), "links")
 
     label = materialize(components(edges), "labels")
     named = met.select("cell", "node").join(label, "node", "left").select("cell", "node", F.coalesce("label", "node").alias("label"))
@@ -288,7 +293,7 @@ def near_links(wide: DataFrame, texts: DataFrame, least: float = LIKENESS, ngram
     rest = x.join(y, meet).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct()
     past = near.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
     rest = materialize(rest.join(past, ["hub", "node"], "left_anti"), "pairs")
-    return edges.union(verified(rest, texts, least, ngram))
+    return edges.union(verified(rest, wide, rows, least, ngram))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
@@ -300,11 +305,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = text_of(text_col)
     rows = docs.select(F.xxhash64(text).alias("hash"), F.col(id_col).alias("id"), text.alias("text"))
-    texts = rows.groupBy("hash").agg(F.min("id").alias("id"), F.first("text").alias("text"))  # copies meet within tasks first
-    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
-    wide = materialize(wide_fingerprints(texts, texts.count(), ngram, least), "wide")
-    label = components(near_links(wide, texts.select("node", "text"), least, ngram))
-    return texts.select("node", "hash", "id").join(label, "node", "left").select("hash", "id", F.coalesce("label", "node").alias("root"))
+    every = wide_fingerprints(rows, rows.count(), ngram, least)
+    one = every.groupBy("hash").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in every.columns[2:]))  # of copies, within tasks first
+    wide = materialize(one.withColumn("node", F.monotonically_increasing_id()), "wide")
+    label = components(near_links(wide, rows, least, ngram))
+    return wide.select("node", "hash", "id").join(label, "node", "left").select("hash", "id", F.coalesce("label", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LIKENESS, ngram: int = NGRAM) -> DataFrame:
