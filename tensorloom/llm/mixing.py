@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import WORD, materialize, running, table, text_of
+from tensorloom.llm.common import WORD, materialize, running, scratch, table, text_of
 
 #: Times that the mix may take a document.
 MOST = 3
@@ -94,8 +94,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     repeated rows and empty tables as in ``schedule``. All columns come back, whatever their names. The rows are
     numbered and written once, so that each meets its own copies.
     """
-    rows = materialize(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source")).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    plan = schedule(rows, "id", "text", "source", seed).where(F.size("finish") > 0).select(F.col("row").alias("_of"), F.explode("finish").alias("finish"))
+    rows = materialize(docs.select(F.struct("*").alias("row")).withColumn("_row", F.monotonically_increasing_id()), "rows", keep=True)
+    row = F.col("row")
+    read = rows.select("_row", row[id_col].alias("id"), row[text_col].alias("text"), row[source_col].alias("source"))
+    with scratch(docs.sparkSession):
+        plan = schedule(read, "id", "text", "source", seed).where(F.size("finish") > 0)
+        plan = materialize(plan.select(F.col("row").alias("_of"), F.explode("finish").alias("finish")), "finish", keep=True)
     out = rows.select("row", "_row").join(plan, F.col("_row") == F.col("_of"))
     return out.repartitionByRange("finish", "_row").sortWithinPartitions("finish", "_row").select("row.*")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import label_fold, materialize, table
+from tensorloom.llm.common import label_fold, materialize, scratch, table
 
 #: Statistics of a document, Fourier features of them, ridge penalty a row, cells of the calibration.
 STATS, FEATURES, RIDGE, CELLS = 22, 256, 1e-6, 512
@@ -186,8 +186,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc
     shuffled or written. Nulls, empty texts, repeated rows and rows without labels as in ``score``; ties at 0.5
     stay; an empty table gives no rows.
     """
-    stats = materialize(document_statistics(docs, id_col, text_col), "statistics")
-    model = fitted(stats, labels, train_rows, id_col, label_col)
+    with scratch(docs.sparkSession):
+        model = fitted(materialize(document_statistics(docs, id_col, text_col), "statistics"), labels, train_rows, id_col, label_col)
     if model is None:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import materialize, table, text_of
+from tensorloom.llm.common import materialize, scratch, table, text_of
 from tensorloom.llm.components import components
 
 #: The references; their distances to a fingerprint, or to a segment of it, are its coordinates.
@@ -318,9 +318,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     A copy under an id that other texts bear too goes; a row repeated stays once. All columns come back,
     whatever their names; an empty table gives no rows.
     """
-    known = near_copies(docs, id_col, text_col, least, ngram)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash"))
-    kept = materialize(known.groupBy("root").agg(first.alias("f")).select(F.col("f.hash").alias("hash"), F.col("f.id").alias("id")), "kept")
+    with scratch(docs.sparkSession):
+        known = near_copies(docs, id_col, text_col, least, ngram)
+        kept = materialize(known.groupBy("root").agg(first.alias("f")).select(F.col("f.hash").alias("hash"), F.col("f.id").alias("id")), "kept", keep=True)
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_of(text_col)).alias("hash"))
     return rows.join(kept, "hash").where(F.col("own").eqNullSafe(F.col("id"))).dropDuplicates(["hash"]).select("row.*")
 
