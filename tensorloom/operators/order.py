@@ -14,6 +14,9 @@ from tensorloom.operators.reshape import relabel
 from tensorloom.storage import materialize
 from tensorloom.tensor import SemiSparseTensor, SparseTensor
 
+#: Ranks that one row of ``lexi_order`` holds at most.
+GATHER = 1024
+
 
 def sort_custom(x: SparseTensor, order: Sequence[int], force: bool = False) -> SparseTensor:
     """By the modes in ``order``; nothing happens if that is the known order."""
@@ -92,19 +95,31 @@ def random_maps(spark, ndims: Sequence[int], seed: int = 0) -> DataFrame:
     return maps
 
 
-def lexi_order(x: SparseTensor, mode: int) -> DataFrame:
+def lexi_order(x: SparseTensor, mode: int, gather: int = GATHER) -> DataFrame:
     """(mode, old, new): indices of ``mode`` ordered by the ranks of the other-mode tuples they occur with.
 
     Indices hit by earlier tuples come first; one whose tuples are a prefix of another's comes after it;
-    unused indices come last. An index's ranks are gathered in one row.
+    unused indices come last, ties keep the index order. An index's ranks are gathered in runs of ``gather``; where an
+    index has more, the runs are ranked themselves and these ranks gathered in turn, so that no row grows with a hot
+    index: a round more for each power of ``gather``.
     """
     rest = x.rest(mode)
-    tuples = with_pos(x.df.select(*rest).distinct(), rest)
-    own = F.col(f"i{mode}")
-    rows = x.df.join(tuples, rest).groupBy(own.alias("old")).agg(F.sort_array(F.collect_set("pos")).alias("ranks"))
-    every = x.df.sparkSession.range(x.ndims[mode]).withColumnRenamed("id", "old").join(rows, "old", "left")
-    keyed = every.select("old", F.concat(F.coalesce("ranks", F.array().cast("array<bigint>")), F.array(F.lit(2**63 - 1))).alias("key"))
-    return with_pos(keyed, ["key", "old"]).select(F.lit(mode).alias("mode"), "old", F.col("pos").alias("new"))
+    tuples = with_pos(x.df.select(*rest).distinct(), rest).withColumnRenamed("pos", "rank")
+    used = x.df.select(F.col(f"i{mode}").alias("old"), *rest).distinct().join(tuples, rest).select("old", "rank")
+    placed = with_pos(used, ["old", "rank"])
+    starts = materialize(placed.groupBy("old").agg(F.min("pos").alias("start"), F.count("*").alias("n")), "starts")
+    most = starts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    ranks = placed.join(starts.select("old", "start"), "old").select("old", (F.col("pos") - F.col("start")).alias("at"), "rank")
+    run = F.transform(F.sort_array(F.collect_list(F.struct("at", "rank"))), lambda r: r["rank"])
+    while True:
+        runs = ranks.groupBy("old", F.floor(F.col("at") / gather).alias("at")).agg(F.concat(run, F.array(F.lit(2**63 - 1))).alias("run"))
+        if most <= gather:
+            break
+        runs = materialize(runs, "runs")
+        ranked = with_pos(runs.select("run").distinct(), ["run"]).withColumnRenamed("pos", "rank")
+        ranks, most = runs.join(ranked, "run").select("old", "at", "rank"), -(-most // gather)
+    every = x.df.sparkSession.range(x.ndims[mode]).withColumnRenamed("id", "old").join(runs.select("old", "run"), "old", "left")
+    return with_pos(every, [F.col("run").asc_nulls_last(), F.col("old")]).select(F.lit(mode).alias("mode"), "old", F.col("pos").alias("new"))
 
 
 def bfs_order(x: SparseTensor, mode: int) -> DataFrame:
