@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.errors import TensorValueError
 from tensorloom.operators.hicoo import HiCOO, block_pointers, chunk_pointers, kernel_pointers, schedule
+from tensorloom.operators.positions import with_pos
 from tensorloom.tensor import SparseTensor, mode_names
 
 
@@ -60,29 +61,41 @@ def write_tns(x: SparseTensor, path: str, start_index: int = 1) -> None:
     head.unionByName(body).orderBy("_h", *x.modes).select("line").write.text(path)
 
 
-def read_maps(spark: SparkSession, path: str, ndims: Sequence[int]) -> DataFrame:
-    """(mode, old, new) from 1-based new indices, a mode after the other, however lines break.
+def numbered_words(spark: SparkSession, path: str) -> DataFrame:
+    """(at, w): the words of a text, numbered from 0 through all its files (by path) and lines.
 
-    Words get their places from the lines' offsets; a file is one row, as its maps have an entry an index.
+    Files are split as usual and lines numbered by split and place in it; a line is a row.
     """
-    words = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\s+"), lambda w: w != "").alias("w"))
-    flat = words.select(F.posexplode("w").alias("at", "new"))
+    lines = spark.read.text(path).select(
+        F.filter(F.split("value", r"\s+"), lambda w: w != "").alias("w"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+    )
+    starts = with_pos(lines.withColumn("n", F.size("w").cast("bigint")), ["file", "block", "line"], {"first": "n"})
+    return starts.select("first", F.posexplode("w").alias("k", "w")).select((F.col("first") + F.col("k")).alias("at"), "w")
+
+
+def read_maps(spark: SparkSession, path: str, ndims: Sequence[int]) -> DataFrame:
+    """(mode, old, new) from 1-based new indices, a mode after the other, however lines break."""
     start, mode, old = 0, F.lit(None).cast("int"), F.lit(None).cast("bigint")
     for k, d in enumerate(ndims):
         inside = (F.col("at") >= start) & (F.col("at") < start + d)
-        mode, old = F.when(inside, F.lit(k)).otherwise(mode), F.when(inside, (F.col("at") - start).cast("bigint")).otherwise(old)
+        mode, old = F.when(inside, F.lit(k)).otherwise(mode), F.when(inside, F.col("at") - start).otherwise(old)
         start += d
-    return flat.select(mode.alias("mode"), old.alias("old"), (F.col("new").cast("bigint") - 1).alias("new")).where("mode is not null")
+    return numbered_words(spark, path).select(mode.alias("mode"), old.alias("old"), (F.col("w").cast("bigint") - 1).alias("new")).where("mode is not null")
 
 
 def read_matrix_transposed(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     """(row, vals), rows, columns of the transpose of a matrix: ``2 ncols nrows``, then the values by rows."""
-    words = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\s+"), lambda w: w != "").alias("w"))
-    two, ncols, nrows = (int(x) for x in words.select(F.slice("w", 1, 3)).first()[0])
+    words = numbered_words(spark, path)
+    head = {r["at"]: r["w"] for r in words.where("at < 3").collect()}
+    try:
+        two, ncols, nrows = (int(head[k]) for k in range(3))
+    except (KeyError, ValueError) as e:
+        raise TensorValueError("the first three words aren't 2 and the sizes") from e
     if two != 2:
         raise TensorValueError("a matrix has two modes")
-    cells = words.select(F.posexplode(F.slice("w", 4, nrows * ncols)).alias("at", "v"))
-    cells = cells.select(F.pmod("at", F.lit(nrows)).cast("bigint").alias("row"), F.floor(F.col("at") / nrows).alias("col"), F.col("v").cast("double").alias("v"))
+    cells = words.where((F.col("at") >= 3) & (F.col("at") < 3 + nrows * ncols)).select((F.col("at") - 3).alias("at"), F.col("w").cast("double").alias("v"))
+    cells = cells.select(F.pmod("at", F.lit(nrows)).cast("bigint").alias("row"), F.floor(F.col("at") / nrows).alias("col"), "v")
     rows = cells.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", "v"))), lambda c: c["v"]).alias("vals"))
     return rows, nrows, ncols
 
