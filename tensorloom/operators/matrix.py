@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.errors import ShapeMismatchError
@@ -62,9 +63,18 @@ def inverse_shuffle(a: DataFrame, maps: DataFrame, mode: int) -> DataFrame:
     return a.join(one, "row").select(F.col("old").alias("row"), "vals")
 
 
-def gram_df(a: DataFrame, rank: int) -> DataFrame:
-    """A row with g_p_q (p <= q), the upper triangle of A'A."""
-    return a.agg(*(F.coalesce(F.sum(F.col("vals")[p] * F.col("vals")[q]), F.lit(0.0)).alias(f"g_{p}_{q}") for p in range(rank) for q in range(p, rank)))
+def gram_df(a: DataFrame, rank: int, *more: Column) -> DataFrame:
+    """A row with g_p_q (p <= q), the upper triangle of A'A, and ``more`` aggregates."""
+    return a.agg(*(F.coalesce(F.sum(F.col("vals")[p] * F.col("vals")[q]), F.lit(0.0)).alias(f"g_{p}_{q}") for p in range(rank) for q in range(p, rank)), *more)
+
+
+def gram_of_row(r: Row, rank: int) -> np.ndarray:
+    """The matrix that ``gram_df`` gave as a row."""
+    out = np.zeros((rank, rank))
+    for p in range(rank):
+        for q in range(p, rank):
+            out[p, q] = out[q, p] = r[f"g_{p}_{q}"]
+    return out
 
 
 def gram_entries(a: DataFrame, rank: int) -> DataFrame:
@@ -76,15 +86,11 @@ def gram_entries(a: DataFrame, rank: int) -> DataFrame:
 
 def gram(a: DataFrame, rank: int) -> np.ndarray:
     """A'A in the driver: one aggregate a product up to rank GRAM_WIDE, rows beyond."""
+    if rank <= GRAM_WIDE:
+        return gram_of_row(gram_df(a, rank).first(), rank)
     out = np.zeros((rank, rank))
-    if rank > GRAM_WIDE:
-        for r in gram_entries(a, rank).collect():  # rank by rank
-            out[r["p"], r["q"]] = out[r["q"], r["p"]] = r["v"]
-        return out
-    r = gram_df(a, rank).first()
-    for p in range(rank):
-        for q in range(p, rank):
-            out[p, q] = out[q, p] = r[f"g_{p}_{q}"]
+    for r in gram_entries(a, rank).collect():  # rank by rank
+        out[r["p"], r["q"]] = out[r["q"], r["p"]] = r["v"]
     return out
 
 
@@ -141,14 +147,14 @@ def inverse(g: np.ndarray) -> np.ndarray:
         return np.linalg.pinv(g)
 
 
-def times_small(a: DataFrame, m: np.ndarray) -> DataFrame:
-    """Rows times an R by S matrix of the driver, in place."""
+def times_small(a: DataFrame, m: np.ndarray, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows times an R by S matrix of the driver, in place; columns ``keep`` stay."""
     if m.ndim != 2:
         raise ShapeMismatchError("a matrix is needed")
     cols = [reduce(lambda x, y: x + y, (F.col("vals")[p] * F.lit(float(m[p, q])) for p in range(m.shape[0]))) for q in range(m.shape[1])]
-    return a.select("row", F.array(*cols).alias("vals"))
+    return a.select("row", F.array(*cols).alias("vals"), *keep)
 
 
-def solve_normals(rhs: DataFrame, grams: list[np.ndarray], mode: int) -> DataFrame:
-    """rhs times the inverse of the product of the other modes' Gram matrices."""
-    return times_small(rhs, inverse(hadamard_grams(grams, mode)))
+def solve_normals(rhs: DataFrame, grams: list[np.ndarray], mode: int, keep: Sequence[str] = ()) -> DataFrame:
+    """rhs times the inverse of the product of the other modes' Gram matrices; columns ``keep`` of rhs stay."""
+    return times_small(rhs, inverse(hadamard_grams(grams, mode)), keep)

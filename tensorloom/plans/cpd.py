@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -61,12 +62,34 @@ def fit_of(norm_sq: float, model_sq: float, inner: float) -> float:
     return 1 - (math.sqrt(left) if left > 0 else left) / math.sqrt(norm_sq)
 
 
+def _sums(solved: DataFrame, rank: int) -> tuple[np.ndarray, list[float], float]:
+    """Of (row, vals, product): the Gram matrix of vals, the largest value or 1 of its columns, and its inner product with product.
+
+    The last is <X, M>: lambda times the normalized factor is vals.
+    """
+    met = reduce(lambda a, b: a + b, (F.col("vals")[r] * F.col("product")[r] for r in range(rank)))
+    more = [F.coalesce(F.sum(met), F.lit(0.0)).alias("inner"), F.array(*(F.greatest(F.lit(1.0), F.max(F.col("vals")[r])) for r in range(rank))).alias("most")]
+    if rank > matrix.GRAM_WIDE:
+        gram, rest = matrix.gram(solved, rank), solved.agg(*more).first()
+    else:
+        rest = matrix.gram_df(solved, rank, *more).first()
+        gram = matrix.gram_of_row(rest, rank)
+    return gram, [float(x) for x in rest["most"]], float(rest["inner"])
+
+
+def _scaled_gram(gram: np.ndarray, by: list[float]) -> np.ndarray:
+    """The Gram matrix of the columns divided by ``by``; a zero leaves its column."""
+    by = np.array([x or 1.0 for x in by])
+    return gram / np.outer(by, by)
+
+
 def cpd_als(x: SparseTensor | HiCOO, rank: int = 16, niters: int = 5, tol: float = 1e-5, seed: int = 0) -> KruskalTensor:
     """CP decomposition. A step contracts, solves for the mode, normalizes (2-norm in the first iteration, then
     the largest value or 1) and refreshes that mode's Gram matrix; the fit reuses the last contraction.
 
-    Entries and each new factor are written to the shared folder, so a plan never holds more than one step.
-    The driver handles rank by rank matrices only.
+    A step is two jobs: contraction and solution are written to the shared folder side by side, so that a plan
+    never holds more than one step; one aggregate then takes the Gram matrix, the largest values and the inner
+    product, and normalizing scales them in the driver, which handles rank by rank matrices only.
     """
     blocked = isinstance(x, HiCOO)
     spark, n = x.df.sparkSession, len(x.ndims)
@@ -78,13 +101,15 @@ def cpd_als(x: SparseTensor | HiCOO, rank: int = 16, niters: int = 5, tol: float
     lam, fit, product = [1.0] * rank, 0.0, None
     for it in range(niters):
         for m in range(n):
-            product = materialize(contract(x, factors, m, rank), "product")
-            solved = matrix.solve_normals(product, grams, m)
-            factor, lam = (matrix.norm2 if it == 0 else matrix.max_norm)(solved, rank)
-            factors[m] = materialize(factor, "factor")
-            grams[m] = matrix.gram(factors[m], rank)
-        before, fit = fit, fit_of(norm_sq, model_norm_squared(lam, grams), float(inner_df(factors[-1], product, lam, x.ndims[-1]).first()[0]))
+            product = contract(x, factors, m, rank).withColumn("product", F.col("vals"))
+            solved = materialize(matrix.solve_normals(product, grams, m, keep=["product"]), "solved")
+            gram, most, inner = _sums(solved, rank)
+            lam = list(np.sqrt(np.diag(gram))) if it == 0 else most
+            factors[m], grams[m] = matrix.scaled(solved, lam), _scaled_gram(gram, lam)
+        before, fit = fit, fit_of(norm_sq, model_norm_squared(lam, grams), inner)
         if it and abs(fit - before) < tol:
             break
-    factors, lam = matrix.final_lambda(factors, lam, rank)
+    for m, gram in enumerate(grams):
+        norms = list(np.sqrt(np.diag(gram)))
+        factors[m], lam = matrix.scaled(factors[m], norms), [float(x * y) for x, y in zip(lam, norms)]
     return KruskalTensor(x.ndims, rank, lam, factors, fit)
