@@ -266,6 +266,22 @@ def test_lexi_order_refines(spark, a):
     assert sorted(range(5), key=lambda i: (hit(i), i)) == sorted(range(5), key=found.get)
 
 
+@pytest.mark.parametrize("gather", [2, 3, 1024])
+def test_lexi_order_of_long_slices(spark, gather):
+    """Slices equal, prefixes of others, unused and of all lengths, gathered in several rounds."""
+    b = (np.random.default_rng(6).random((12, 5, 6)) < np.linspace(0, 1, 12).reshape(12, 1, 1)).astype(float)
+    b[4], b[7], b[9] = b[8], b[10], 0
+    b[10].ravel()[20:] = 0
+    hit = lambda i: (*np.flatnonzero(b[i].ravel()), 2**63 - 1)
+    found = {r["new"]: r["old"] for r in order.lexi_order(sparse(spark, b), 0, gather).collect()}
+    assert [found[k] for k in range(12)] == sorted(range(12), key=lambda i: (hit(i), i))
+
+
+def test_lexi_order_of_nothing(spark):
+    x = SparseTensor.from_rows(spark, [], (3, 2, 2))
+    assert sorted((r["old"], r["new"]) for r in order.lexi_order(x, 0).collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_hicoo(spark, a):
     x = sparse(spark, a)
     h = hicoo.to_hicoo(x, 1, 2)
@@ -345,6 +361,28 @@ def test_cpd(spark, blocked):
     assert np.allclose(array(moved.factors[1]), [fs[1][new[1, i]] for i in range(3)])
 
 
+@pytest.mark.parametrize("rank", [2, 3])
+def test_cpd_replayed(spark, a, rank, monkeypatch):
+    """Every factor, lambda and the fit against the same iterations in numpy, with both ways to sum a Gram matrix."""
+    us = [array(matrix.randomize(spark, d, rank, 5 + k)) for k, d in enumerate(DIMS)]
+    lam, fit, subs = np.ones(rank), 0.0, ("jr,kr->ir", "ir,kr->jr", "ir,jr->kr")
+    for it in range(3):
+        for m in range(3):
+            others = [u for k, u in enumerate(us) if k != m]
+            product = np.einsum(f"ijk,{subs[m]}", a, *others)
+            solved = product @ np.linalg.inv((others[0].T @ others[0]) * (others[1].T @ others[1]))
+            lam = np.linalg.norm(solved, axis=0) if it == 0 else np.maximum(1, solved.max(0))
+            us[m] = solved / lam
+        model = np.einsum("r,ir,jr,kr->ijk", lam, *us)
+        fit = 1 - np.linalg.norm(a - model) / np.linalg.norm(a)
+    norms = [np.linalg.norm(u, axis=0) for u in us]
+    if rank == 3:
+        monkeypatch.setattr(matrix, "GRAM_WIDE", 2)
+    k = cpd_als(sparse(spark, a), rank, 3, 0.0, seed=5)
+    assert k.fit == pytest.approx(fit, abs=1e-8) and np.allclose(k.lam, lam * np.prod(norms, axis=0))
+    assert all(np.allclose(array(f), u / n) for f, u, n in zip(k.factors, us, norms))
+
+
 def test_fit_parts(spark, a):
     draw = np.random.default_rng(4)
     us, lam = [draw.normal(size=(d, 2)) for d in DIMS], [1.5, 0.5]
@@ -384,6 +422,20 @@ def test_text(spark, a, tmp_path):
     assert (array(m) == [[1, 3], [2, 4]]).all() and (rows, cols) == (2, 2)
     (tmp_path / "maps.txt").write_text("2 1 3\n1\n2")
     assert sorted(map(tuple, text.read_maps(spark, f"{tmp_path}/maps.txt", (3, 2)).collect())) == [(0, 0, 1), (0, 1, 0), (0, 2, 2), (1, 0, 0), (1, 1, 1)]
+    (tmp_path / "many").mkdir()
+    new = np.random.default_rng(1).permutation(900)
+    for part in range(3):
+        words = [str(w + 1) for w in new[part * 300 : part * 300 + 300]]
+        lines = [" ".join(words[at : at + 7]) for at in range(0, 300, 7)]
+        (tmp_path / "many" / f"{part}.txt").write_text("\n\n".join(lines))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        assert [r["new"] for r in text.read_maps(spark, f"{tmp_path}/many", (900,)).orderBy("old").collect()] == new.tolist()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "short.txt").write_text("2 2")
+    with pytest.raises(TensorValueError):
+        text.read_matrix_transposed(spark, f"{tmp_path}/short.txt")
     text.write_matrix(m, f"{tmp_path}/out", 2, 2)
     assert [r[0] for r in spark.read.text(f"{tmp_path}/out").collect()] == ["2 x 2 matrix", "1.00\t3.00", "2.00\t4.00"]
     assert [r["line"] for r in text.show_vector(spark.createDataFrame([(1, 2.5), (0, 1.5)], "pos int, v double"), "%.1f").collect()] == ["1.5", "2.5"]
