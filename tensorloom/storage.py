@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +26,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and scan it: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that Spark's file systems reach; nothing, if it isn't there."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+_passing: ContextVar[dict[str, DataFrame] | None] = ContextVar("passing", default=None)
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and scan it: cuts the lineage, survives lost executors.
+
+    Within ``scratch`` the table goes at its end, unless ``keep``.
+    """
+    path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if not keep and (passing := _passing.get()) is not None:
+        passing[path] = out
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], None]]:
+    """Deletes at its end the tables that were materialized in it: what outlives it is collected or written with ``keep``.
+
+    Gives a function that deletes one of them before.
+    """
+    held = _passing.set({})
+    passing = _passing.get()
+
+    def drop(table: DataFrame) -> None:
+        for path in [p for p, t in passing.items() if t is table]:
+            delete(spark, path)
+            del passing[path]
+
+    try:
+        yield drop
+    finally:
+        for path in passing:
+            delete(spark, path)
+        _passing.reset(held)
