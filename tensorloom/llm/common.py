@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tensorloom.storage import shared_dir
+from tensorloom.storage import materialize, scratch, shared_dir, shared_path
 
 __all__ = ["label_fold", "lower_ascii", "materialize", "running", "scratch", "shared_dir", "shared_path", "table", "text_of"]
 
@@ -19,36 +14,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
-
-
-def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and scan it; within ``scratch`` it goes at the end, unless ``keep``."""
-    path = shared_path(df.sparkSession, tag)
-    if not keep and (passing := _passing.get()) is not None:
-        passing.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end the tables that were materialized in it: what outlives it is collected or written with ``keep``."""
-    held = _passing.set([])
-    try:
-        yield
-    finally:
-        for path in _passing.get():
-            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-        _passing.reset(held)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

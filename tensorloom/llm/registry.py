@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tensorloom.llm.centroids import OP11_SQL, op11_clusters
+from tensorloom.llm.fim import OP12_SQL, op12_fim
 from tensorloom.llm.minhash import op9_minhash
 from tensorloom.llm.mixing import OP5_SQL, op5_mix
 from tensorloom.llm.quality import op1_quality
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_minhash": op9_minhash,
     "op10_winnow": op10_winnow,
+    "op11_clusters": op11_clusters,
+    "op12_fim": op12_fim,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +35,6 @@ ORACLES: dict[str, str] = {
     "op3_warc": OP3_SQL,
     "op5_mix": OP5_SQL,
     "op10_winnow": OP10_SQL,
+    "op11_clusters": OP11_SQL,
+    "op12_fim": OP12_SQL,
 }
