@@ -6,6 +6,7 @@ from tensorloom.llm.centroids import OP11_SQL, op11_clusters
 from tensorloom.llm.fim import OP12_SQL, op12_fim
 from tensorloom.llm.minhash import op9_minhash
 from tensorloom.llm.mixing import OP5_SQL, op5_mix
+from tensorloom.llm.pitman_yor import op13_model
 from tensorloom.llm.quality import op1_quality
 from tensorloom.llm.secrets import op6_secrets
 from tensorloom.llm.shards import op8_shards
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_winnow": op10_winnow,
     "op11_clusters": op11_clusters,
     "op12_fim": op12_fim,
+    "op13_model": op13_model,
 }
 
 ORACLES: dict[str, str] = {
