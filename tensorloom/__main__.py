@@ -47,12 +47,12 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--matrix", help="a text of a matrix, transposed; else a random one")
         p.add_argument("--sort", choices=SORTS, default="lexi")
         p.add_argument("--blocks", type=int, nargs=2, metavar=("SB", "SK"), help="over the blocked format")
-        p.add_argument("--renumber", choices=("lexi", "bfs", "random"))
+        p.add_argument("--renumber", choices=("lexi", "bfs", "mcs", "random"))
     p = command("convert", "x")
     p.add_argument("--blocks", type=int, nargs=2, metavar=("SB", "SK"))
     p.add_argument("-m", "--mode", type=int, default=0)
     p = command("reorder", "x")
-    p.add_argument("--how", choices=("lexi", "bfs", "random"), default="lexi")
+    p.add_argument("--how", choices=("lexi", "bfs", "mcs", "random"), default="lexi")
     p.add_argument("--iterations", type=int, default=1)
     p.add_argument("--maps", help="a text with new indices instead")
     p = command("cpd", "x")

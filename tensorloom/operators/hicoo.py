@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,23 +78,43 @@ def block_pointers(h: HiCOO) -> DataFrame:
 def chunk_pointers(h: HiCOO, bits: int = CHUNK_BITS) -> DataFrame:
     """(kid, cid, first_block): a chunk starts with every kernel, and after blocks with 2^bits entries or more.
 
-    A fold over the block counts of one kernel, in order.
+    Kernels are dealt out and their blocks read in order; a task knows no more than the batch that it reads, the
+    kernel it is in and how much its last chunk holds.
     """
-    blocks = block_pointers(h).groupBy("kid").agg(F.sort_array(F.collect_list(F.struct("bid", "nnz"))).alias("of"))
-    state = "struct<at:array<bigint>,n:bigint>"
-    full = F.lit(1 << bits)
-    folded = F.aggregate(
-        "of", F.struct(F.array().cast("array<bigint>").alias("at"), full.cast("bigint").alias("n")).cast(state),
-        lambda s, b: F.struct(F.when(s["n"] >= full, F.array_append(s["at"], b["bid"])).otherwise(s["at"]).alias("at"), (F.when(s["n"] >= full, F.lit(0)).otherwise(s["n"]) + b["nnz"]).alias("n")).cast(state),
-    )
-    return blocks.select("kid", F.posexplode(folded["at"]).alias("cid", "first_block"))
+    full = 1 << bits
+
+    def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel, chunk, have = None, -1, 0
+        for batch in them:
+            kid, bid, nnz = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kid", "bid", "nnz"))
+            before, out = np.concatenate([[0], np.cumsum(nnz)]), []
+            starts = np.flatnonzero(np.append(True, kid[1:] != kid[:-1])) if len(kid) else np.zeros(0, np.int64)
+            for lo, hi in zip(starts, [*starts[1:], len(kid)]):
+                at = int(lo)
+                if kid[lo] == kernel:  # the kernel goes on: where does its open chunk end?
+                    at = max(at, int(np.searchsorted(before[: hi + 1], before[lo] + full - have)))
+                    have += int(before[min(at, hi)] - before[lo])
+                else:
+                    kernel, chunk, have = kid[lo], -1, 0
+                while at < hi:
+                    chunk += 1
+                    out.append((kernel, chunk, bid[at]))
+                    end = int(np.searchsorted(before[: hi + 1], before[at] + full))
+                    have = int(before[min(end, hi)] - before[at])
+                    at = end
+            columns = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["kid", "cid", "first_block"])
+
+    blocks = block_pointers(h).select("kid", "bid", "nnz").repartition("kid").sortWithinPartitions("kid", "bid")
+    return blocks.mapInArrow(batches, "kid bigint, cid int, first_block bigint")
 
 
 def schedule(h: HiCOO) -> DataFrame:
-    """(mode, k, kids, n): the kernels that share a coordinate."""
-    kernels = kernel_pointers(h)
-    rows = kernels.select("kid", F.posexplode(F.array(*h.kernels)).alias("mode", "k"))
-    return rows.groupBy("mode", "k").agg(F.sort_array(F.collect_list("kid")).alias("kids"), F.count("*").alias("n"))
+    """(mode, k, place, kid): the kernels that share a coordinate, numbered; a row a kernel and mode."""
+    rows = kernel_pointers(h).select("kid", F.posexplode(F.array(*h.kernels)).alias("mode", "k"))
+    placed = with_pos(rows, ["mode", "k", "kid"])
+    starts = placed.groupBy("mode", "k").agg(F.min("pos").alias("start"))
+    return placed.join(starts, ["mode", "k"]).select("mode", "k", (F.col("pos") - F.col("start")).alias("place"), "kid")
 
 
 #: Bytes of a value, an element's offset, a block's coordinate, a pointer into the entries and an index in the format.

@@ -16,8 +16,9 @@ from tensorloom.operators import order as od
 from tensorloom.operators import products as pr
 from tensorloom.operators import reduce as rd
 from tensorloom.operators import reshape as rs
+from tensorloom.operators import tiled as td
 from tensorloom.plans.cpd import cpd_als, inner_df, model_norm_squared
-from tensorloom.sources import text
+from tensorloom.sources import text, tns
 from tensorloom.sources.generate import diagonal_tensor, rated_tensor
 from tensorloom.storage import shared_dir
 from tensorloom.streaming.accumulate import accumulate
@@ -120,6 +121,13 @@ def tns_roundtrip(spark, d):
     return text.read_tns(spark, path).df
 
 
+@query(f"WITH {_S} SELECT * FROM s")
+def tns_source(spark, d):
+    path = f"{shared_dir(spark)}/tns-{uuid.uuid4().hex}"
+    tns.save(s_of(spark, d), path)
+    return tns.load(spark, path, split_bytes=1 << 20).df
+
+
 @query(f"WITH {_X} SELECT i0, i1, i2, concat_ws(chr(9), i0 + 1, i1 + 1, i2 + 1, printf('%.6f', v)) AS line FROM x")
 def tns_dump(spark, d):
     return text.tns_lines(x_of(spark, d))
@@ -366,6 +374,22 @@ def hicoo_mttkrp_scheduled(spark, d):
     return _wide(hi.hicoo_mttkrp_scheduled(h, [u_of(spark, n) for n in h.ndims], 0, RANK))
 
 
+#: Blocks of 128 and kernels of 1024 indices, the format's usual sizes.
+_USUAL = (7, 10)
+
+
+@query(_mttkrp_sql(_S, "s", 0, 16))
+def hicoo_mttkrp_tiled(spark, d):
+    h = hi.to_hicoo(s_of(spark, d), *_USUAL)
+    return _wide(td.hicoo_mttkrp_tiled(h, [u_of(spark, n, 16) for n in h.ndims], 0, 16), 16)
+
+
+@query(_mttkrp_sql(_S, "s", 2))
+def hicoo_mttkrp_balanced(spark, d):
+    h = hi.to_hicoo(s_of(spark, d), *_USUAL)
+    return _wide(td.hicoo_mttkrp_balanced(h, [u_of(spark, n) for n in h.ndims], 2, RANK))
+
+
 def _small(spark, d) -> tuple[SparseTensor, SparseTensor]:
     """All lines' quantities and numbers by year, line number and return flag: small by nature, however many lines."""
     rows = _table(spark, d, "lineitem")
@@ -450,6 +474,11 @@ def bfs_order(spark, d):
     return od.bfs_order(s_of(spark, d), 0)
 
 
+@query()
+def mcs_order(spark, d):
+    return od.mcs_order(s_of(spark, d), 0)
+
+
 @query(f"WITH {_S}, {_HB} SELECT * FROM b")
 def hicoo_blocks(spark, d):
     return hi.to_hicoo(s_of(spark, d), 2, 4).df.drop("elems")
@@ -489,9 +518,9 @@ def hicoo_chunks(spark, d):
     return hi.chunk_pointers(hi.to_hicoo(s_of(spark, d), 2, 4), 4)
 
 
-@query(f"WITH {_S}, {_HB}, {_K} SELECT 0 AS mode, k0 AS k, string_agg(kid, ',' ORDER BY kid) AS kids, count(*)::BIGINT AS n FROM kp GROUP BY k0 UNION ALL SELECT 1, k1, string_agg(kid, ',' ORDER BY kid), count(*) FROM kp GROUP BY k1 UNION ALL SELECT 2, k2, string_agg(kid, ',' ORDER BY kid), count(*) FROM kp GROUP BY k2")
+@query(f"WITH {_S}, {_HB}, {_K} " + " UNION ALL ".join(f"SELECT {m} AS mode, k{m} AS k, row_number() OVER (PARTITION BY k{m} ORDER BY kid) - 1 AS place, kid FROM kp" for m in range(3)))
 def hicoo_schedule(spark, d):
-    return hi.schedule(hi.to_hicoo(s_of(spark, d), 2, 4)).select("mode", "k", F.array_join("kids", ",").alias("kids"), "n")
+    return hi.schedule(hi.to_hicoo(s_of(spark, d), 2, 4))
 
 
 _STATUS = (
@@ -621,8 +650,7 @@ def matrix_dump(spark, d):
 
 @query(f"WITH {_S} SELECT * FROM s ORDER BY i0, i1, i2 LIMIT 1 OFFSET 100")
 def nth_entry(spark, d):
-    s = s_of(spark, d)
-    return s.df.orderBy(*s.modes).offset(100).limit(1)
+    return rs.nth_entry(s_of(spark, d), 100)
 
 
 @query("SELECT a AS row, b::INT AS col, CASE WHEN a = b THEN 1 ELSE 0 END::DOUBLE AS v FROM (SELECT unnest(range(20)) AS a), (SELECT unnest(range(20)) AS b)")

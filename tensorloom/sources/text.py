@@ -13,29 +13,37 @@ from tensorloom.operators.positions import with_pos
 from tensorloom.tensor import SparseTensor, mode_names
 
 
+def _header(lines: DataFrame, files: Sequence[str]) -> tuple[list, str]:
+    """The first two of ``lines`` (line, file, at) in the first file by name, and that file.
+
+    The condition on the file reaches the listing, so that only it is read, from its first split on: ``at`` counts its
+    lines in order, and does so again wherever the same condition holds.
+    """
+    first = (files[0] if files else "").replace("file:///", "file:/", 1)  # as the metadata column writes it
+    return lines.where(F.col("file") == first).limit(2).collect(), first
+
+
 def read_tns(spark: SparkSession, path: str, start_index: int = 1, ndims: Sequence[int] | None = None, strict: bool = True) -> SparseTensor:
     """A tensor from lines: the number of modes, the sizes, then indices and value of an entry each.
 
     ``ndims`` for files without the first two lines. Indices count from ``start_index``. strict: a malformed
     line raises when it is read; else it is left out. Explicit zeros are dropped, equal coordinates stay.
     """
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line")).where("line <> ''")
+    line = F.trim("value", F.lit(" \t\n\x0b\f\r")).alias("line")
+    lines = spark.read.text(path).select(line, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where("line <> ''")
     if ndims is None:
-        head = [r["line"] for r in lines.limit(2).collect()]
+        head, first = _header(lines, sorted(spark.read.text(path).inputFiles()))
         try:
-            (n,), ndims = map(int, head[0].split()), tuple(map(int, head[1].split()))
+            (n,), ndims = map(int, head[0]["line"].split()), tuple(map(int, head[1]["line"].split()))
         except (ValueError, IndexError) as e:
             raise TensorValueError("the first two lines don't give the modes and their sizes") from e
         if n != len(ndims) or n < 1:
             raise TensorValueError(f"{len(ndims)} sizes for {n} modes")
-        # Parts of a text file don't know their place in it: the header lines are told by their words, never
-        # as many as an entry's.
-        lines = lines.where(~(F.col("line").isin(*head) & (F.size(F.split("line", " ")) != n + 1)))
+        lines = lines.where(F.col("file") != first).unionByName(lines.where((F.col("file") == first) & (F.col("at") > head[1]["at"])))
     n = len(ndims)
-    words = F.split("line", " ")
-    index = [F.expr(f"try_cast(split(line, ' ')[{k}] AS BIGINT)") - start_index for k in range(n)]
-    value = F.expr(f"try_cast(split(line, ' ')[{n}] AS DOUBLE)")
-    parsed = lines.select("line", (F.size(words) == n + 1).alias("_ok"), *(F.when(F.size(words) == n + 1, i).alias(m) for i, m in zip(index, mode_names(n))), F.when(F.size(words) == n + 1, value).alias("v"))
+    words = lines.select("line", F.split("line", r"\s+").alias("w"))
+    at = lambda k, kind: F.get("w", F.lit(k)).try_cast(kind)
+    parsed = words.select("line", (F.size("w") == n + 1).alias("_ok"), *((at(k, "bigint") - start_index).alias(m) for k, m in enumerate(mode_names(n))), at(n, "double").alias("v"))
     good = F.col("_ok") & F.col("v").isNotNull()
     for m in mode_names(n):
         good = good & F.col(m).isNotNull() & (F.col(m) >= 0)
@@ -115,8 +123,9 @@ def hicoo_lines(h: HiCOO) -> DataFrame:
     number = lambda df, part, keys, line: df.select(F.lit(part).alias("part"), F.struct(*keys).cast("string").alias("at"), line.alias("line"))
     text = lambda *cols: F.concat_ws(" ", *(F.col(c).cast("string") for c in cols))
     pad = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    kernels = schedule(h).groupBy("mode", "k").agg(F.sort_array(F.collect_list("kid")).alias("kids"))  # a line holds them all
     parts = [
-        number(schedule(h), "kschr", [F.col("mode"), pad("k")], F.concat_ws(" ", F.col("mode").cast("string"), F.col("k").cast("string"), F.array_join("kids", ","))),
+        number(kernels, "kschr", [F.col("mode"), pad("k")], F.concat_ws(" ", F.col("mode").cast("string"), F.col("k").cast("string"), F.array_join("kids", ","))),
         number(kernel_pointers(h), "kptr", [pad("kid")], text("kid", "kptr")),
         number(chunk_pointers(h), "cptr", [pad("kid"), pad("cid")], text("kid", "cid", "first_block")),
         number(block_pointers(h), "bptr", [pad("bid")], text("bid", "bptr", *h.blocks)),
