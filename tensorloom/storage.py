@@ -37,6 +37,18 @@ def delete(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark deletes a query's shuffle files when the query has ended: for jobs that write each step and read it again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _passing: ContextVar[dict[str, DataFrame] | None] = ContextVar("passing", default=None)
 
 
