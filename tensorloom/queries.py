@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.functions.keys import best_mode_order, worst_mode_order
+from tensorloom.operators import dense_modes as dm
 from tensorloom.operators import elementwise as el
 from tensorloom.operators import hicoo as hi
 from tensorloom.operators import matrix as mx
@@ -86,7 +87,8 @@ _Y = _X.replace("x AS", "y AS", 1).replace("FROM lineitem", "FROM lineitem WHERE
 _S = "s AS (SELECT l_suppkey::BIGINT AS i0, l_partkey::BIGINT AS i1, (l_linenumber - 1)::BIGINT AS i2, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY ALL)"
 _E = "e AS (SELECT user_id::BIGINT AS i0, (dense_rank() OVER (ORDER BY event_type) - 1)::BIGINT AS i1, (day(ts) - 1)::BIGINT AS i2 FROM events), ec AS (SELECT i0, i1, i2, count(*)::DOUBLE AS v FROM e GROUP BY ALL)"
 _DIM = "d AS (SELECT max(i0) + 1 AS d0, max(i1) + 1 AS d1, max(i2) + 1 AS d2 FROM x)"
-_u = lambda i, r: f"(({i} * 7 + {3 * r}) % 11 - 5)"
+_u = lambda i, r, more=0: f"(({i} * 7 + {3 * r} + 3 * {more}) % 11 - 5)"
+_RANKS = f"k AS (SELECT a.r, b.r AS q FROM range({RANK}) a(r), range({RANK}) b(r))"
 _HB = "b AS (SELECT i0 >> 4 AS k0, i1 >> 4 AS k1, i2 >> 4 AS k2, i0 >> 2 AS b0, i1 >> 2 AS b1, i2 >> 2 AS b2, count(*)::BIGINT AS nnz FROM s GROUP BY ALL)"
 _K = "k AS (SELECT k0, k1, k2, sum(nnz)::BIGINT AS nnz, count(*)::BIGINT AS blocks, row_number() OVER (ORDER BY k0, k1, k2) - 1 AS kid FROM b GROUP BY k0, k1, k2), kp AS (SELECT *, coalesce(sum(nnz) OVER (ORDER BY kid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS kptr FROM k)"
 
@@ -323,6 +325,22 @@ def ttv(spark, d):
     return y.df.select(*y.rest, F.col("fiber")[0].alias("v"))
 
 
+@query(f"WITH {_S}, {_RANKS} SELECT i0, r AS i1, q AS i2, sum(v * {_u('i1', 0, 'r')} * {_u('i2', 0, 'q')})::DOUBLE AS v FROM s, k GROUP BY ALL HAVING sum(v * {_u('i1', 0, 'r')} * {_u('i2', 0, 'q')}) <> 0")
+def blocks_ttm_chain(spark, d):
+    """Two modes times a matrix each: the sparse one becomes dense beside the one that is, and both stay in blocks."""
+    s = s_of(spark, d)
+    y = dm.to_blocks(s, [2])
+    for m in (1, 2):
+        y = dm.ttm(y, u_of(spark, s.ndims[m]), m, s.ndims[m], RANK)
+    return dm.from_blocks(y).df
+
+
+@query(f"WITH {_X} SELECT i0, i1, i2, 3 * v AS v FROM x")
+def blocks_roundtrip(spark, d):
+    y = dm.to_blocks(x_of(spark, d), [2, 1])
+    return dm.from_blocks(dm.add(y, dm.scale(y, 2))).df
+
+
 @query(_ttm_sql(_X, "x"))
 def sttm(spark, d):
     x = x_of(spark, d)
@@ -619,16 +637,25 @@ def reindex(spark, d):
     return rs.reindex(_lines(spark, d, modes=[F.col("l_orderkey"), F.col("l_partkey") * 3])).df
 
 
-@query("SELECT i AS i0, i + a AS i1, i + b AS i2 FROM range(1000) r(i), (VALUES (-9, 0), (0, -9), (0, 0), (0, 9), (9, 0)) s(a, b) WHERE i + a BETWEEN 0 AND 999 AND i + b BETWEEN 0 AND 999")
+@query(
+    f"WITH {_S}, t AS (SELECT i0, sum(v) AS v FROM s GROUP BY i0), n AS (SELECT max(i0) + 1 AS n FROM s), r AS (SELECT unnest(range(n)) AS i, n FROM n), "
+    "w AS (SELECT i, n, i + x * floor(n ** (1 / 3::DOUBLE))::BIGINT AS p, i + y * floor(n ** (1 / 3::DOUBLE))::BIGINT AS q FROM r, (VALUES (-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)) o(x, y)) "
+    "SELECT i AS i0, p AS i1, q AS i2, v FROM w JOIN t ON i0 = i WHERE p BETWEEN 0 AND n - 1 AND q BETWEEN 0 AND n - 1"
+)
 def diagonal(spark, d):
-    """Where the stencil's entries lie; its values are random."""
-    return diagonal_tensor(spark, 1000).df.drop("v")
+    """The stencil over the suppliers, with each supplier's quantity for its random values."""
+    s = s_of(spark, d)
+    by = s.df.groupBy("i0").agg(F.sum("v").alias("v"))
+    return diagonal_tensor(spark, s.ndims[0]).df.drop("v").join(by, "i0")
 
 
-@query("SELECT a AS i0, 15::BIGINT AS n FROM range(40) r(a)")
+@query("SELECT user_id::BIGINT AS i0, 15::BIGINT AS n, count(*)::BIGINT AS events FROM events GROUP BY user_id")
 def generated_rates(spark, d):
-    """Entries by first index: every one draws half of 10 and, for each of these, 3 of 30."""
-    return rated_tensor(spark, [(1.0, 40), (0.5, 10), (0.1, 30)]).df.groupBy("i0").agg(F.count("*").alias("n"))
+    """Entries by user, beside the user's events: every one draws half of 10 and, for each of these, 3 of 30."""
+    events = _table(spark, d, "events").groupBy(F.col("user_id").cast("bigint").alias("i0")).agg(F.count("*").alias("events"))
+    users = events.agg(F.max("i0")).first()[0] + 1
+    made = rated_tensor(spark, [(1.0, users), (0.5, 10), (0.1, 30)]).df.groupBy("i0").agg(F.count("*").alias("n"))
+    return made.join(events, "i0")
 
 
 @query(f"WITH {_X} SELECT i0, i1, i2, sum(v) AS v FROM x GROUP BY CUBE (i0, i1, i2)")
@@ -653,9 +680,11 @@ def nth_entry(spark, d):
     return rs.nth_entry(s_of(spark, d), 100)
 
 
-@query("SELECT a AS row, b::INT AS col, CASE WHEN a = b THEN 1 ELSE 0 END::DOUBLE AS v FROM (SELECT unnest(range(20)) AS a), (SELECT unnest(range(20)) AS b)")
+@query(f"SELECT p::INT AS p, q::INT AS q, CASE WHEN p = q THEN round(sum(embedding[p + 1]::DOUBLE * embedding[q + 1]::DOUBLE), 6) ELSE 0 END AS v FROM embeddings, range({WIDTH}) a(p), range({WIDTH}) b(q) WHERE p <= q GROUP BY p, q")
 def identity_matrix(spark, d):
-    return mx.exploded(mx.identity(spark, 20))
+    """The Gram matrix of the embeddings times the identity, place by place."""
+    ones = mx.exploded(mx.identity(spark, WIDTH)).select(F.col("row").cast("int").alias("p"), F.col("col").alias("q"), F.col("v").alias("one"))
+    return mx.gram_entries(_emb(spark, d), WIDTH).join(ones, ["p", "q"]).select("p", "q", F.round(F.col("v") * F.col("one"), 6).alias("v"))
 
 
 @query("SELECT (SELECT count(*) FROM embeddings) - 1 - vec_id AS row, " + ", ".join(f"embedding[{p + 1}]::DOUBLE AS m{p}" for p in range(WIDTH)) + " FROM embeddings")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tensorloom.errors import ShapeMismatchError
-from tensorloom.operators import hicoo, matrix, order, products, reshape, tiled
+from tensorloom.operators import dense_modes, hicoo, matrix, order, products, reshape, tiled
 from tensorloom.sources.generate import diagonal_tensor
 from tensorloom.storage import materialize
 from tensorloom.tensor import SparseTensor
@@ -145,3 +145,50 @@ def test_sort_semisparse(spark):
     y = order.sort_semisparse(reshape.to_semisparse(sparse(spark, a), 1))
     keys = [tuple(r[m] for m in y.rest) for r in y.df.collect()]
     assert keys == sorted(keys) and (dense(reshape.from_semisparse(y)) == a).all()
+
+
+def blocks(y):
+    """A dense array of all modes."""
+    out = np.zeros(y.ndims)
+    for r in y.df.collect():
+        at = np.array(r["block"]).reshape(y.sizes)
+        fixed = tuple(r[f"i{k}"] if k not in y.dense else slice(None) for k in range(len(y.ndims)))
+        left = [k for k in range(len(y.ndims)) if k in y.dense]
+        out[fixed] += np.transpose(at, [y.dense.index(k) for k in left])
+    return out
+
+
+@pytest.mark.parametrize("dense_", [(2,), (2, 0), (0, 1), (0, 2, 1)])
+def test_dense_modes(spark, dense_):
+    a = random_dense(21, (5, 4, 6), 0.3)
+    y = dense_modes.to_blocks(sparse(spark, a), dense_)
+    assert (blocks(y) == a).all() and (dense(dense_modes.from_blocks(y)) == a).all()
+    assert dense_modes.norm_squared_df(y).first()[0] == (a**2).sum()
+    assert (blocks(dense_modes.add(y, dense_modes.scale(y, -3))) == -2 * a).all()
+    z = dense_modes.to_blocks(sparse(spark, random_dense(22, (5, 4, 6), 0.1)), dense_)
+    assert (blocks(dense_modes.add(y, z)) == a + random_dense(22, (5, 4, 6), 0.1)).all()
+
+
+@pytest.mark.parametrize("ranks", [(2, 3, 2), (3, 4, 9)])
+def test_ttm_chain_in_blocks(spark, ranks):
+    """All modes in turn, sparse and dense ones, small blocks and large."""
+    a = random_dense(23, (5, 4, 6), 0.3)
+    us = [np.random.default_rng(k).normal(size=(n, r)) for k, (n, r) in enumerate(zip(a.shape, ranks))]
+    y, want = dense_modes.to_blocks(sparse(spark, a), [2]), a
+    for m in (1, 2, 0):
+        y = dense_modes.ttm(y, frame(spark, us[m]), m, a.shape[m], ranks[m])
+        want = np.moveaxis(np.tensordot(want, us[m], axes=(m, 0)), -1, m)
+        assert np.allclose(blocks(y), want)
+    assert y.dense == (2, 1, 0) and y.sparse == []
+
+
+def test_blocks_of_nothing(spark):
+    y = dense_modes.to_blocks(SparseTensor.empty(spark, (3, 4, 2)), [1])
+    for m in range(3):
+        y = dense_modes.ttm(y, matrix.randomize(spark, y.ndims[m], 2, m), m, y.ndims[m], 2)
+        assert y.df.count() == 0
+    for wrong in ((), (0, 0), (3,)):
+        with pytest.raises(ShapeMismatchError):
+            dense_modes.to_blocks(SparseTensor.empty(spark, (3, 4, 2)), wrong)
+    with pytest.raises(ShapeMismatchError):
+        dense_modes.ttm(y, matrix.randomize(spark, 9, 2), 0, 9, 2)
