@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tensorloom.llm.common import materialize, shared_path, table, text_of
+from tensorloom.llm.common import materialize, running, shared_path, table, text_of
 
 #: Bytes that a bucket, shuffled in memory by one task, holds on average.
 BUCKET_BYTES = 8 << 20
 ROW_BYTES = 16
 #: Tasks of the second pass at most; with more buckets than that a task shuffles several, one after another.
 MOST_TASKS = 100_000
-#: Buckets up to which their offsets are broadcast (about 40 bytes each); beyond, they are joined by shuffle.
+#: Buckets, or hot keys, up to which their offsets are broadcast (about 40 bytes each); beyond, they are joined by shuffle.
 BROADCAST_BUCKETS = 1_000_000
 
 
@@ -25,27 +26,27 @@ def size_of(text_col: str = "text") -> Column:
     return (F.octet_length(text_of(text_col)) + ROW_BYTES).cast("bigint")
 
 
-def _numbered(keyed: DataFrame, hot: DataFrame) -> DataFrame:
-    """The rows of the keys ``hot`` (k, h, fit), with part: their number among the key's rows, divided by fit.
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns: rows that are equal in it are taken as equal."""
+    plain = lambda f: F.array_sort(F.map_entries(F.col(f"`{f.name}`"))) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+    return F.xxhash64(*map(plain, docs.schema.fields))
 
-    Rows are numbered within blocks of 1024 a task, after the key's blocks before them, so that a part holds as many rows in every run.
-    """
-    rows = materialize(keyed.drop("part").join(F.broadcast(hot), ["k", "h"]).withColumn("block", F.shiftright(F.monotonically_increasing_id(), 10)), "hot")
-    blocks = rows.groupBy("k", "h", "block").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("k", "h").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("k", "h", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    own = F.row_number().over(Window.partitionBy("k", "h", "block").orderBy("k")) - 1
-    return rows.withColumn("own", own).join(starts, ["k", "h", "block"]).withColumn("part", F.floor((F.col("start") + F.col("own")) / F.col("fit")))
+
+def _numbered(keyed: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of the keys ``hot`` (k, h, fit), with part: their number among the key's rows, in the order of their hashes, divided by fit."""
+    rows = materialize(keyed.drop("part").join(hot, ["k", "h"]).select("*", F.monotonically_increasing_id().alias("nth"), F.lit(1).alias("one")), "hot")
+    ranked = running(rows, [F.col("k"), F.col("o"), F.col("nth")], "one", "rank", "k")
+    return ranked.withColumn("part", F.floor(F.col("rank") / F.col("fit")))
 
 
 def scattered(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """Pass 1 of ``shuffled_shards``: (row, shard, bucket, index, h), and the number of buckets in all shards.
+    """Pass 1 of ``shuffled_shards``: (row, shard, bucket, index, h, o), and the number of buckets in all shards.
 
     bucket numbers the buckets of a shard, index those of all shards; equal rows, null ids and texts as there.
     """
     docs = docs.drop("shard", "slot")
     key, text = F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_of(text_col)
-    keyed = docs.select(F.struct("*").alias("row"), shard_of(key, n, seed).alias("shard"), F.xxhash64(key, text, F.lit(seed + 1)).alias("k"), F.xxhash64(key, text, F.lit(seed + 2)).alias("h"), size_of(text_col).alias("size"))
+    keyed = docs.select(F.struct("*").alias("row"), shard_of(key, n, seed).alias("shard"), F.xxhash64(key, text, F.lit(seed + 1)).alias("k"), F.xxhash64(key, text, F.lit(seed + 2)).alias("h"), _row_hash(docs).alias("o"), size_of(text_col).alias("size"))
     keys = materialize(keyed.groupBy("shard", "k", "h").agg(F.sum("size").alias("bytes"), F.max("size").alias("size")), "keys")
     per_shard = keys.groupBy("shard").agg(F.ceil(F.sum("bytes") / bucket_bytes).alias("buckets"))
     counts = {r["shard"]: r["buckets"] for r in per_shard.collect()}  # n rows
@@ -56,11 +57,12 @@ def scattered(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "
     per_shard = docs.sparkSession.createDataFrame(starts, "shard int, buckets bigint, first bigint")
     hot = keys.where((F.col("bytes") > bucket_bytes) & (F.col("bytes") > F.col("size"))).select("k", "h", F.greatest(F.lit(1), F.floor(F.lit(bucket_bytes) / F.col("size"))).alias("fit"))
     keyed = keyed.drop("size").withColumn("part", F.lit(0).cast("bigint"))
-    if hot.limit(1).count():
+    if many := hot.count():
+        hot = F.broadcast(hot) if many <= BROADCAST_BUCKETS else hot
         keyed = keyed.join(hot.select("k", "h"), ["k", "h"], "left_anti").select(keyed.columns).union(_numbered(keyed, hot).select(keyed.columns))
     placed_in = F.pmod(F.xxhash64("k", "part"), F.col("buckets"))
-    placed = keyed.join(F.broadcast(per_shard), "shard").select("row", "shard", "first", placed_in.alias("bucket"), "h")
-    return placed.select("row", "shard", "bucket", (F.col("first") + F.col("bucket")).alias("index"), "h"), buckets
+    placed = keyed.join(F.broadcast(per_shard), "shard").select("row", "shard", "first", placed_in.alias("bucket"), "h", "o")
+    return placed.select("row", "shard", "bucket", (F.col("first") + F.col("bucket")).alias("index"), "h", "o"), buckets
 
 
 def shuffled_shards(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -68,7 +70,7 @@ def shuffled_shards(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: s
 
     Pass 1 scatters the rows into the shards, by seeded hashes of the id, and within a shard into buckets of
     about ``bucket_bytes``, as many as the shard's bytes ask for, by seeded hashes of id and text; pass 2
-    orders each bucket by hash, so that reruns agree, shuffles it in memory (Fisher-Yates, ``shuffle``) and
+    orders each bucket by hashes, last of all columns, so that reruns agree, shuffles it in memory (Fisher-Yates, ``shuffle``) and
     numbers it after the buckets before it. Which task shuffles a bucket, and so its order, follows from the
     bucket's number alone, not from the cluster's settings. All orders of a shard are as likely. Columns named shard or slot
     are replaced; null texts count as empty, null ids as one id; rows that repeat an id share its shard.
@@ -82,7 +84,7 @@ def shuffled_shards(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: s
 
     offsets = F.broadcast(offsets) if buckets <= BROADCAST_BUCKETS else offsets
     tasks = max(1, min(buckets, MOST_TASKS))
-    dealt = keyed.withColumn("task", F.pmod("index", F.lit(tasks)).cast("int")).repartitionById(tasks, "task").sortWithinPartitions("task", "index", "h")
+    dealt = keyed.withColumn("task", F.pmod("index", F.lit(tasks)).cast("int")).repartitionById(tasks, "task").sortWithinPartitions("task", "index", "h", "o")
     filled = dealt.groupBy("task", "index", "shard", "bucket").agg(F.collect_list("row").alias("rows"))
     placed = filled.select("shard", "bucket", F.shuffle("rows", F.lit(seed)).alias("rows")).join(offsets, ["shard", "bucket"])
     return placed.select("shard", "offset", F.posexplode_outer("rows").alias("place", "row")).select("row.*", "shard", (F.col("offset") + F.col("place")).alias("slot"))

@@ -243,7 +243,7 @@ def test_shards_scatter_a_repeated_row(spark):
         for s in range(3):
             slots = sorted(r["slot"] for r in placed if r["shard"] == s)
             assert slots == [*range(len(slots))]
-        runs.append(sorted((r["shard"], r["slot"], r["doc_id"], r["text"]) for r in placed))
+        runs.append(sorted((r["shard"], r["slot"], r["doc_id"], r["text"], r["n"]) for r in placed))
     assert runs[0] == runs[1]
 
 
