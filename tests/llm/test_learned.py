@@ -183,11 +183,18 @@ def test_scores_are_the_model(spark, monkeypatch):
     with scratch(spark):
         model = pitman_yor.train(docs.select((~F.col("held_out")).alias("train"), "text"))
         words = {r["w"] % (1 << 64): r for r in model.words.collect()}
-        known, k = pitman_yor._Hashes(), len(model.samples)
+        k = len(model.samples)
+
+        def tokens(text):
+            chunk = pitman_yor.Chunk()
+            chunk.add(text.encode())
+            hashes, number, contexts, _ = chunk.read()
+            return list(zip(hashes[number.astype(int)].tolist(), contexts.tolist()))
+
         counts = collections.Counter()
         for i, t in enumerate(texts):
             if i % 6:
-                counts.update(zip(*(x.tolist() for x in pitman_yor.text_tokens(t.encode(), known))))
+                counts.update(tokens(t))
 
         def probability(w, u):
             r = words.get(w)
@@ -213,7 +220,7 @@ def test_scores_are_the_model(spark, monkeypatch):
             assert sum(probability(w, u) for w in seen) + probability(-1, u) == pytest.approx(1, abs=1e-9)
         got = {r["id"]: r for r in pitman_yor.scores(docs, model).collect()}
         for i, t in enumerate(texts):
-            pairs = list(zip(*(x.tolist() for x in pitman_yor.text_tokens(t.encode(), known))))
+            pairs = tokens(t)
             assert got[i]["tokens"] == len(pairs) and got[i]["score"] == pytest.approx(sum(math.log10(probability(w, u)) for w, u in pairs), rel=1e-5)
 
 
