@@ -19,6 +19,7 @@ from tensorloom.operators import reduce as rd
 from tensorloom.operators import reshape as rs
 from tensorloom.operators import tiled as td
 from tensorloom.plans.cpd import cpd_als, inner_df, model_norm_squared
+from tensorloom.plans.tucker import tucker
 from tensorloom.sources import text, tns
 from tensorloom.sources.generate import diagonal_tensor, rated_tensor
 from tensorloom.storage import shared_dir
@@ -614,6 +615,16 @@ def cpd_als_hicoo(spark, d):
     return spark.createDataFrame([(r, float(x), float(k.fit)) for r, x in enumerate(k.lam)], "r int, lam double, fit double")
 
 
+@query()
+def tucker_core(spark, d):
+    """Norms of the tensor and of its core, and what the core explains."""
+    x = x_of(spark, d)
+    core, _ = tucker(x, (3, 3, 3), 2)
+    whole = rd.norm_squared_df(x).select(F.sqrt("norm_sq").alias("norm"))
+    part = rd.norm_squared_df(core).select(F.sqrt("norm_sq").alias("core_norm"))
+    return whole.crossJoin(part).withColumn("explained", F.pow(F.col("core_norm") / F.col("norm"), 2))  # a row each
+
+
 _INNER = " + ".join(f"(SELECT coalesce(sum(v * {_u('i0', r)} * {_u('i1', r)} * {_u('i2', r)}), 0) * {r + 1} FROM s)" for r in range(RANK))
 
 

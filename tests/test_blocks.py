@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.errors import ShapeMismatchError
 from tensorloom.operators import dense_modes, hicoo, matrix, order, products, reshape, tiled
+from tensorloom.plans import tucker
 from tensorloom.sources.generate import diagonal_tensor
 from tensorloom.storage import materialize
 from tensorloom.tensor import SparseTensor
@@ -192,3 +193,26 @@ def test_blocks_of_nothing(spark):
             dense_modes.to_blocks(SparseTensor.empty(spark, (3, 4, 2)), wrong)
     with pytest.raises(ShapeMismatchError):
         dense_modes.ttm(y, matrix.randomize(spark, 9, 2), 0, 9, 2)
+
+
+def test_tucker_against_numpy(spark):
+    """Four modes: the tree's halves; the same start and as many iterations give the same factors but for signs."""
+    a, ranks = random_dense(31, (5, 4, 6, 3), 0.3), (2, 3, 2, 2)
+    fs = [array(matrix.randomize(spark, d, r, k)) for k, (d, r) in enumerate(zip(a.shape, ranks))]
+    times = lambda y, m: np.moveaxis(np.tensordot(y, fs[m], axes=(m, 0)), -1, m)
+    for _ in range(2):
+        for m in range(4):
+            y = a
+            for k in range(4):
+                y = times(y, k) if k != m else y
+            fs[m] = np.linalg.svd(np.moveaxis(y, m, 0).reshape(a.shape[m], -1), full_matrices=False)[0][:, : ranks[m]]
+    want = times(y, 3)
+    core, got = tucker.tucker(sparse(spark, a), ranks, niters=2)
+    assert core.ndims == ranks and np.linalg.norm(dense(core)) == pytest.approx(np.linalg.norm(want), rel=1e-9)
+    for g, f, d in zip(got, fs, a.shape):
+        full = np.zeros((d, f.shape[1]))
+        for r in g.collect():
+            full[r["row"]] = r["vals"]
+        assert np.allclose(full @ full.T, f @ f.T, atol=1e-8) and np.allclose(full.T @ full, np.eye(f.shape[1]), atol=1e-8)
+    with pytest.raises(ShapeMismatchError):
+        tucker.tucker(sparse(spark, a), (2, 3, 2, 13))
