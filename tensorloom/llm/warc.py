@@ -6,7 +6,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,14 +57,23 @@ def unchunked(data: bytes) -> bytes | None:
         at = end + 4 + size
 
 
+def _written(name) -> str | None:
+    """An id as a header can hold it: line ends, white space and % percent-encoded."""
+    return None if name is None else quote(str(name), safe="!#$&'()*+,/:;=?@[]~")
+
+
+def _read(name: str | None) -> str | None:
+    return None if name is None else unquote(name)
+
+
 def records_of(row: int, page, url: str | None, digest: str, refers, payload: bytes, refers_url: str | None = None) -> list[bytes]:
     """One page's records: a revisit, or a response in segments of SEGMENT bytes."""
     name = lambda k: f"<urn:sha1:{hashlib.sha1(f'{row}:{page}:{k}'.encode()).hexdigest()}>"
     uri = quote(url or "", safe="%!#$&'()*+,/:;=?@[]~") or None  # what a header cannot hold is percent-encoded
-    common = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Page-ID", page), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
+    common = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Page-ID", _written(page)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if payload is None or refers is not None:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(payload or b'')}\r\n\r\n".encode()
-        refer = [("WARC-Refers-To-Target-URI", quote(refers_url or "", safe="%!#$&'()*+,/:;=?@[]~") or None), ("WARC-Refers-To-Date", DATE), ("WARC-Refers-To-Page-ID", refers)]
+        refer = [("WARC-Refers-To-Target-URI", quote(refers_url or "", safe="%!#$&'()*+,/:;=?@[]~") or None), ("WARC-Refers-To-Date", DATE), ("WARC-Refers-To-Page-ID", _written(refers))]
         return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", name(1)), *common, ("WARC-Profile", PROFILE), *refer], block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= SEGMENT:
@@ -104,11 +113,11 @@ def parsed(data: bytes) -> Iterator[tuple]:
         name, kind = head.get("WARC-Record-ID"), head.get("WARC-Type")
         block = data[end + 4 : end + 4 + int(size)] if end >= 0 and size.isdecimal() else b""
         if not (size.isdecimal() and name and kind and len(block) == int(size)):
-            yield ("broken", name, name, None, None, head.get("WARC-Page-ID"), None, None, b"")
+            yield ("broken", name, name, None, None, _read(head.get("WARC-Page-ID")), None, None, b"")
             return
         yield (
             kind, name, head.get("WARC-Segment-Origin-ID", name), int(number) if number.isdecimal() else None, int(total) if total.isdecimal() else None,
-            head.get("WARC-Page-ID"), head.get("WARC-Payload-Digest"), head.get("WARC-Refers-To-Page-ID"), block,
+            _read(head.get("WARC-Page-ID")), head.get("WARC-Payload-Digest"), _read(head.get("WARC-Refers-To-Page-ID")), block,
         )
         at = end + 4 + int(size) + 4
 

@@ -363,6 +363,16 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert sorted((r["record_type"], r["refers"]) for r in found if r["page"] is None and r["payload_bytes"] > 1) == [("revisit", "1")]
 
 
+def test_warc_string_ids(spark, tmp_path):
+    """Ids with line ends, white space, percent signs and any other characters come back, of responses and of revisits."""
+    ids = ["a\r\nWARC-Type: x", " 50% ", "%0A", "\u00fc\U0001f600", "", "x: y"]
+    df = spark.createDataFrame([(i, "u", h) for i in ids for h in ("same", i + "own")], "page_id string, url string, html string")
+    warc.write(df, f"file://{tmp_path}/w")
+    found = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert all(r["valid"] for r in found) and sorted(r["page"] for r in found) == sorted(ids * 2)
+    assert sorted(r["page"] for r in found if r["refers"] is not None) == sorted(ids)[1:] and {r["refers"] for r in found} == {None, min(ids)}
+
+
 def test_warc_tells_broken_segments(spark, tmp_path):
     import gzip
 
