@@ -15,6 +15,7 @@ from tensorloom.operators import hicoo as hi
 from tensorloom.operators import matrix as mx
 from tensorloom.operators import order as od
 from tensorloom.operators import products as pr
+from tensorloom.operators import ranges as rg
 from tensorloom.operators import reduce as rd
 from tensorloom.operators import reshape as rs
 from tensorloom.operators import tiled as td
@@ -23,6 +24,7 @@ from tensorloom.plans.tucker import tucker
 from tensorloom.sources import text, tns
 from tensorloom.sources.generate import diagonal_tensor, rated_tensor
 from tensorloom.storage import shared_dir
+from tensorloom.streaming import state as st
 from tensorloom.streaming.accumulate import accumulate
 from tensorloom.tensor import SemiSparseTensor, SparseTensor
 
@@ -725,3 +727,136 @@ def streaming_accumulate(spark, d):
     q = accumulate(stream, [F.col("user_id"), F.dayofmonth("ts") - 1], F.when(F.col("value") > 0, 1).otherwise(0), f"{path}/sums")
     q.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/sums").groupBy("i0", "i1").agg(F.sum("v").alias("v"))
+
+
+_MINUTE_SQL = "((day(ts) - 1) * 1440 + hour(ts) * 60 + minute(ts))::BIGINT"
+_MINUTES = f"m AS (SELECT user_id::BIGINT AS i0, {_MINUTE_SQL} AS i1, count(*)::DOUBLE AS v FROM events GROUP BY ALL)"
+_BOXES = (
+    "boxes AS (SELECT o_orderkey AS box, o_custkey % 150 AS u0, o_custkey % 150 + o_orderkey % 9 - 1 AS u1, "
+    "o_orderkey * 37 % 43200 AS t0, o_orderkey * 37 % 43200 + o_custkey % 700 AS t1 FROM orders)"
+)
+
+
+def m_of(spark, d) -> SparseTensor:
+    """Events by user and minute of the month."""
+    minute = (F.dayofmonth("ts") - 1) * 1440 + F.hour("ts") * 60 + F.minute("ts")
+    return SparseTensor.from_dataframe(_table(spark, d, "events"), [F.col("user_id"), minute], F.lit(1), how="count")
+
+
+@query(f"WITH {_MINUTES}, {_BOXES} SELECT box, count(*) AS entries, sum(v)::DOUBLE AS v FROM m JOIN boxes ON i0 BETWEEN u0 AND u1 AND i1 BETWEEN t0 AND t1 GROUP BY box")
+def range_join(spark, d):
+    """Entries in boxes of users and minutes, some of them empty, summed by box."""
+    user, minute = F.col("o_custkey") % 150, F.col("o_orderkey") * 37 % 43200
+    boxes = _table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("box"), user.alias("u0"), (user + F.col("o_orderkey") % 9 - 1).alias("u1"), minute.alias("t0"), (minute + F.col("o_custkey") % 700).alias("t1"))
+    return rg.within(m_of(spark, d).df, boxes, [("i0", "u0", "u1"), ("i1", "t0", "t1")]).groupBy("box").agg(F.count("*").alias("entries"), F.sum("v").alias("v"))
+
+
+_OPEN_SQL = "datediff('day', TIMESTAMP '1992-01-01', {0})"
+
+
+@query(
+    f"WITH o AS (SELECT o_orderkey AS a, o_custkey AS c, {_OPEN_SQL.format('o_orderdate')} AS f, {_OPEN_SQL.format('o_orderdate')} + o_orderkey % 200 AS t FROM orders), "
+    f"l AS (SELECT l_orderkey AS b, {_OPEN_SQL.format('l_shipdate')} AS g, {_OPEN_SQL.format('l_shipdate')} + l_linenumber AS u, o_custkey AS e FROM lineitem JOIN orders ON o_orderkey = l_orderkey) "
+    "SELECT a AS order_key, count(*) AS lines FROM o JOIN l ON c = e AND f <= u AND g <= t GROUP BY a"
+)
+def interval_join(spark, d):
+    """For each order the lines of its customer, of any order, under way while it is open."""
+    day = lambda c: F.datediff(c, F.lit("1992-01-01"))
+    orders = _table(spark, d, "orders")
+    o = orders.select(F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("c"), day("o_orderdate").alias("f"), (day("o_orderdate") + F.col("o_orderkey") % 200).alias("t"))
+    l = _table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    l = l.select(F.col("o_custkey").alias("e"), day("l_shipdate").alias("g"), (day("l_shipdate") + F.col("l_linenumber")).alias("u"))
+    return rg.overlaps(o, l, ("f", "t"), ("g", "u"), [("c", "e")]).groupBy("order_key").agg(F.count("*").alias("lines"))
+
+
+@query(
+    "WITH r AS (SELECT user_id, ts, max(event_id) AS shown FROM events WHERE event_type = 'view' GROUP BY user_id, ts) "
+    "SELECT e.event_id, r.shown FROM events e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.ts >= r.ts WHERE e.event_type <> 'view'"
+)
+def as_of_join(spark, d):
+    """For each other event the user's last view."""
+    rows = _table(spark, d, "events")
+    views = rows.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("shown"))
+    others = rows.where("event_type <> 'view'").select("event_id", "user_id", "ts")
+    return rg.as_of(others, views, ["user_id"], "ts", ["shown"]).select("event_id", "last.shown")
+
+
+@query(f"WITH {_MINUTES} SELECT *, lag(i1) OVER w AS last_i1, lag(v) OVER w AS last_v FROM m WINDOW w AS (PARTITION BY i0 ORDER BY i1)")
+def previous_entry(spark, d):
+    return rg.previous(m_of(spark, d), 1).select("i0", "i1", "v", F.col("last.i1").alias("last_i1"), F.col("last.v").alias("last_v"))
+
+
+@query(
+    f"WITH {_MINUTES} SELECT *, sum(v) OVER w AS total, max(v) OVER w AS top, count(*) OVER w AS entries FROM m "
+    "WINDOW w AS (PARTITION BY i0 ORDER BY i1 RANGE BETWEEN 1440 PRECEDING AND 60 FOLLOWING)"
+)
+def moving_windows(spark, d):
+    """A day back and an hour ahead along the minutes."""
+    return rg.moving(m_of(spark, d), 1, 1440, 60, {"total": F.sum("v"), "top": F.max("v"), "entries": F.count("*")})
+
+
+def _events_stream(spark, d) -> DataFrame:
+    return spark.readStream.schema(_table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def _state_path(spark) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+_cents = lambda: F.round(F.col("value") * 100)
+_at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+_PASSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query(
+    "WITH w AS (SELECT user_id::BIGINT AS i0, round(value * 100) AS v, date_trunc('hour', ts) - to_hours(k::INT) AS s FROM events, range(6) r(k)) "
+    f"SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, i0, sum(v)::DOUBLE AS v FROM w WHERE s + INTERVAL 6 HOUR <= {_PASSED} GROUP BY s, i0"
+)
+def streaming_sliding(spark, d):
+    """Windows of six hours, one an hour, that the watermark has passed."""
+    found = st.sliding_tensor(_events_stream(spark, d), [F.col("user_id")], _cents(), "ts", "6 hours", "1 hour", "1 hour")
+    return st.settle(found, _state_path(spark)).select(_at("start").alias("start"), "i0", "v")
+
+
+@query(
+    "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) "
+    "SELECT user_id::BIGINT AS i0, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS entries, sum(round(value * 100))::DOUBLE AS v "
+    f"FROM s GROUP BY user_id, n HAVING max(ts) + INTERVAL 2 HOUR <= {_PASSED}"
+)
+def streaming_sessions(spark, d):
+    """A user's events that follow one another within two hours, of sessions that the watermark has passed."""
+    found = st.session_tensor(_events_stream(spark, d), [F.col("user_id")], _cents(), "ts", "2 hours", "1 hour")
+    return st.settle(found, _state_path(spark)).select("i0", _at("start").alias("start"), _at("end").alias("end"), "entries", "v")
+
+
+@query("SELECT user_id::BIGINT AS i0, (day(ts) - 1)::BIGINT AS i1, sum(round(value * 100))::DOUBLE AS v FROM events GROUP BY ALL")
+def streaming_repeats(spark, d):
+    """Every event arrives twice and counts once."""
+    twice = _events_stream(spark, d).unionByName(_events_stream(spark, d))
+    once = st.settle(st.without_repeats(twice, ["event_id"], "ts", "1 hour"), _state_path(spark))
+    return SparseTensor.from_dataframe(once, [F.col("user_id"), F.dayofmonth("ts") - 1], _cents()).df
+
+
+@query(
+    "SELECT user_id::BIGINT AS i0, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS time, arg_max(round(value * 100), struct_pack(t := ts, w := value))::DOUBLE AS v, count(*) AS entries "
+    "FROM events GROUP BY user_id"
+)
+def streaming_newest(spark, d):
+    """Each user's newest value."""
+    with st.state_store(spark):
+        found = st.settle(st.newest(_events_stream(spark, d), [F.col("user_id")], _cents(), "ts"), _state_path(spark), "update")
+    return st.present(found).select("i0", _at("time").alias("time"), "v", "entries")
+
+
+@query(
+    "SELECT a.event_id AS first, b.event_id AS second FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 3 HOUR "
+    "WHERE a.event_type = 'view' AND b.event_type = 'purchase'"
+)
+def streaming_join(spark, d):
+    """Views and the purchases within three hours, as two streams."""
+    a = _events_stream(spark, d).where("event_type = 'view'").select("user_id", F.col("event_id").alias("first"), F.col("ts").alias("viewed"))
+    b = _events_stream(spark, d).where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("second"), F.col("ts").alias("bought"))
+    found = st.joined(a, b, ["user_id"], "viewed", "bought", "3 hours", "1 hour")
+    return st.settle(found, _state_path(spark)).select("first", "second")
