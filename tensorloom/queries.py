@@ -21,7 +21,7 @@ from tensorloom.operators import reshape as rs
 from tensorloom.operators import tiled as td
 from tensorloom.plans.cpd import cpd_als, inner_df, model_norm_squared
 from tensorloom.plans.tucker import tucker
-from tensorloom.sources import text, tns
+from tensorloom.sources import text, tns, zorder
 from tensorloom.sources.generate import diagonal_tensor, rated_tensor
 from tensorloom.storage import shared_dir
 from tensorloom.streaming import state as st
@@ -860,3 +860,11 @@ def streaming_join(spark, d):
     b = _events_stream(spark, d).where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("second"), F.col("ts").alias("bought"))
     found = st.joined(a, b, ["user_id"], "viewed", "bought", "3 hours", "1 hour")
     return st.settle(found, _state_path(spark)).select("first", "second")
+
+
+@query(f"WITH {_S} SELECT * FROM s WHERE i0 BETWEEN 10 AND 40 AND i1 BETWEEN 100 AND 499 AND i2 <= 2")
+def zorder_box(spark, d):
+    """A box of suppliers, parts and lines out of the whole tensor, written in Z-order."""
+    s, path = s_of(spark, d), f"{shared_dir(spark)}/zorder-{uuid.uuid4().hex}"
+    zorder.write_zordered(s, path)
+    return zorder.read_box(spark, path, s.ndims, (10, 100, 0), (41, 500, 3)).df
