@@ -18,6 +18,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Characters a token below which a string is taken for a random one; of letters of one case alone, which unknown
 #: words make up too: WORD_RATIO.
 RATIO, WORD_RATIO = 2.8, 2.0
+#: The same for what looks like words joined, but in three or more groups of one length, as keys for people to type are.
+GROUP_RATIO = 1.7
 KINDS = ("assign", "access", "hex", "random")
 DIGESTS = (32, 40, 56, 64, 96, 128)  # hex digits of MD5, SHA-1, SHA-224, -256, -384 and -512
 
@@ -53,8 +55,17 @@ def known(string: str) -> bool:
     return all(len(p) <= MAX_PART and _NAME_PART.fullmatch(p) for p in _PARTS.split(string))
 
 
-def random_spans(text: str, tokens, ratio: float, word_ratio: float, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of strings with fewer than ``ratio`` characters a token (``word_ratio`` for letters of one case), outside ``base``.
+def grouped(string: str, tokens, ratio: float) -> bool:
+    """Whether a string is three or more groups of as many characters, four at least, mostly letters, that take more than a token every ``ratio`` characters."""
+    parts = [p for p in _PARTS.split(string) if p]
+    if len(parts) < 3 or len(parts[0]) < 4 or len({*map(len, parts)}) > 1:
+        return False
+    size = len(parts) * len(parts[0])
+    return 2 * sum(map(str.isalpha, string)) > size and size < ratio * sum(len(tokens(p)) for p in parts)
+
+
+def random_spans(text: str, tokens, ratio: float, word_ratio: float, base: list[tuple[int, int, int]], group_ratio: float = GROUP_RATIO) -> list[tuple[int, int, int]]:
+    """Spans of strings with fewer than ``ratio`` characters a token (``word_ratio`` for letters of one case, ``group_ratio`` for groups of them), outside ``base``.
 
     ``base`` is sorted by start; both lists are walked once.
     """
@@ -64,9 +75,12 @@ def random_spans(text: str, tokens, ratio: float, word_ratio: float, base: list[
             reach = max(reach, base[k][2])
             k += 1
         s = m[0]
-        if m.end() <= reach or known(s):
+        if m.end() <= reach:
             continue
-        if len(s) < (word_ratio if _WORDLIKE.fullmatch(s) else ratio) * len(tokens(s)):
+        if known(s):
+            if grouped(s, tokens, group_ratio):
+                found.append((m.start(), 3, m.end()))
+        elif len(s) < (word_ratio if _WORDLIKE.fullmatch(s) else ratio) * len(tokens(s)):
             found.append((m.start(), 3, m.end()))
     return found
 
@@ -78,13 +92,13 @@ def tokenizer(ranks: bytes):
     return tiktoken.Encoding("scan", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={}).encode_ordinary
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, ratio: float = RATIO, word_ratio: float = WORD_RATIO) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, ratio: float = RATIO, word_ratio: float = WORD_RATIO, group_ratio: float = GROUP_RATIO) -> DataFrame:
     """(id, spans array<struct<kind, start, end>>) for every row of ``docs``, over its whole text.
 
     Spans are in code points, end exclusive, by start and then kind in the order of KINDS: what the patterns
     find, and, as random, further strings of 16 or more characters that take more than one token every
     ``ratio`` characters (``word_ratio`` where they are letters of one case), unless they are digests, UUIDs or
-    identifiers or lie within a pattern's span. A
+    identifiers (but for groups of one length with more than a token every ``group_ratio`` characters) or lie within a pattern's span. A
     null or empty text has no spans; rows that repeat come back as often; other columns aren't read. The
     vocabulary is read by the driver and broadcast: its size doesn't depend on the documents.
     """
@@ -100,7 +114,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             for t in batch.column(1):
                 text = t.as_py() or ""
                 base = base_spans(text)
-                out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + random_spans(text, tokens, ratio, word_ratio, base))])
+                out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + random_spans(text, tokens, ratio, word_ratio, base, group_ratio))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], names=["id", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()

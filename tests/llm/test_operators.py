@@ -429,6 +429,22 @@ def test_secrets(spark):
         assert [text[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "random"] == re.findall("q7Zx9Kp2Lm8Rt4Vw6Yb1Nc3|QWx[^ ]+", text)
 
 
+def test_grouped_keys():
+    """Groups of one length are judged by their tokens; joined words, dates, numbers and other identifiers stay clean."""
+    import random
+
+    draw = random.Random(6)
+    with open(secrets.VOCABULARY, "rb") as f:
+        tokens = secrets.tokenizer(f.read())
+    found = lambda t: [t[a:b] for a, _, b in secrets.random_spans(t, tokens, secrets.RATIO, secrets.WORD_RATIO, [])]
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    for groups, size, letters, least in ((5, 5, upper, 0.9), (5, 5, upper + "0123456789", 0.95), (4, 6, lower + "0123456789", 0.95), (4, 8, lower, 0.65)):
+        keys = ["-".join("".join(draw.choices(letters, k=size)) for _ in range(groups)) for _ in range(400)]
+        assert sum(found(f"key {k} end") == [k] for k in keys) >= least * len(keys), (groups, size, letters)
+    clean = "house-water-light-green above-below-under-about 2024-2025-2026-2027 1234-5678-9012-3456 open_file_read_data MAIN_MENU_ITEM_LIST this-that-with-from-have"
+    assert found(clean) == [] and found("550e8400-e29b-41d4-a716-446655440000") == []
+
+
 def test_random_strings_of_one_case_and_long_runs():
     import random
     import time
