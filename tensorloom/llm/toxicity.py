@@ -16,9 +16,9 @@ from tensorloom.llm.common import label_fold, table
 #: Hashed features; labelled documents learnt from at most (the bound of the one task that learns).
 DIMENSIONS, MAX_TRAIN = 1 << 20, 16384
 #: Step, its offset, L1 and L2 penalties, passes over the labelled documents.
-ALPHA, BETA, L1, L2, PASSES = 3.0, 1.0, 8.0, 0.1, 5
-#: What a toxic document that is missed costs, next to a clean one that is flagged.
-POSITIVE = 3.0
+ALPHA, BETA, L1, L2, PASSES = 3.0, 1.0, 5.0, 0.1, 5
+#: Added to the log odds: a toxic document that is missed counts as exp(SHIFT), 7.4, clean ones that are flagged.
+SHIFT = 2.0
 #: Labelled documents that a feature must occur in to be learnt.
 LEAST_DOCS = 3
 _WORD = re.compile(rb"[a-z0-9\x80-\xff']+")
@@ -58,7 +58,6 @@ def ftrl(rows: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray,
             zi, ni = z[x], n[x]
             w, w0 = weights(zi, ni, L1), float(weights(z0, n0, 0.0))
             g = 1 / (1 + np.exp(-np.clip(w.sum() + w0, -35, 35))) - y
-            g *= 1 + (POSITIVE - 1) * y
             z[x] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[x] = ni + g * g
             z0, n0 = z0 + g - (np.sqrt(n0 + g * g) - np.sqrt(n0)) / ALPHA * w0, n0 + g * g
@@ -94,10 +93,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows, id_col: str, text_col: s
 
 
 def score(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> DataFrame:
-    """(id, score double) for every row of ``docs``: how likely its label is 1, over its whole text.
+    """(id, score double) for every row of ``docs``: how likely its label is 1, over its whole text, weighed by ``SHIFT``.
 
     ``train_rows``: a condition on the labels' ``id``; only such rows are learnt from, each id with the mean
-    of its labels; null labels don't count. Null texts are empty; an empty text has the score of the bias;
+    of its labels; null labels don't count. Null texts are empty; an empty text has the score of the bias and ``SHIFT``;
     rows that repeat come back as often; without labels all scores are 0. Other columns aren't read.
     """
     spark = docs.sparkSession
@@ -118,7 +117,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id"
                 x = features(t.as_py() or b"", cache)
                 hit = np.unique(x[weights[x] != 0])
                 out[i] = bias + float(weights[hit].sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out + SHIFT, -35, 35))))], names=["id", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(scores, f"id {kind}, score double")

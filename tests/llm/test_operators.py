@@ -1,5 +1,6 @@
 """Every operator against a brute-force version, on rows with every odd case, and on an empty table."""
 
+import os
 import base64
 import collections
 import hashlib
@@ -501,6 +502,13 @@ def test_toxicity_held_out(spark):
     assert no >= 0.97 and yes >= 0.5 and all(0 <= r["score"] <= 1 for r in found)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_toxicity_held_out_of_more_rows(spark):
+    found = toxicity.op7_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out")
+    right = {r["toxic"]: r["share"] for r in found.groupBy("toxic").agg(F.avg((F.col("toxic") == F.col("predicted")).cast("double")).alias("share")).collect()}
+    assert right[0] >= 0.985 and right[1] >= 0.8
+
+
 @pytest.mark.parametrize("one", [quality, toxicity])
 def test_classifiers_on_odd_rows(spark, docs, none, one):
     label = "quality" if one is quality else "toxic"

@@ -107,7 +107,7 @@ def test_ftrl_is_per_coordinate():
         for x, y in rows:
             own = [-1, *x]
             w = {i: weight(i) for i in own}
-            g = (1 / (1 + np.exp(-sum(w.values()))) - y) * (toxicity.POSITIVE if y else 1)
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
             for i in own:
                 before = n.get(i, 0.0)
                 n[i] = before + g * g
