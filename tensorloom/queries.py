@@ -452,7 +452,8 @@ _sorted("sort_at_mode", lambda s: ["i0", "i2", "i1"], "i0, i2, i1")
 _sorted("sort_custom", lambda s: ["i2", "i0", "i1"], "i2, i0, i1")
 _sorted("sort_except_mode", lambda s: [*od.except_mode_keys(s, 1), "i1"], "i0, i2, i1")
 _sorted("sort_rowblock", lambda s: [*od.rowblock_keys(s, 3), *s.modes], "i0 >> 3, i1 >> 3, i2 >> 3, i0, i1, i2")
-_sorted("sort_morton", lambda s: od.morton_keys(s, 20), _morton_sql(20))
+# Indices from 2^20 on share the 20 bits of others: the modes settle their order.
+_sorted("sort_morton", lambda s: [*od.morton_keys(s, 20), *s.modes], _morton_sql(20))
 _sorted("sort_mixed", lambda s: [*od.rowblock_keys(s, 3), *od.morton_keys(s)], f"i0 >> 3, i1 >> 3, i2 >> 3, {_morton_sql(20)}")
 _sorted("sort_partial", lambda s: [*od.partial_keys(s, [1, 0, 2], 3), *s.modes], "i1, i1 >> 3, i0 >> 3, i2 >> 3, i0, i1, i2")
 
