@@ -17,8 +17,8 @@ from tensorloom.tensor import SparseTensor
 
 #: Combinations of levels for which a point is put into a cell; with more, levels are rounded up. At least 2^CELL_SIDES.
 MOST_LEVELS = 64
-#: The highest level: bounds are below 2^62, so it has one cell on either side of zero.
-TOP = 62
+#: Steps that levels may be rounded up by, and how much larger the boxes' cells may become altogether by it.
+STEPS, MOST_AREA = (4, 2), 3
 #: Sides by which cells are made; further ones are compared only.
 CELL_SIDES = 3
 #: Least width of a bin of a fiber. A bin is at least four times its halo, which so adds a quarter at most.
@@ -30,14 +30,20 @@ def _distinct_names(left: DataFrame, right: DataFrame) -> None:
         raise ShapeMismatchError(f"columns of both sides: {sorted(both)}")
 
 
-def _levels(boxes: DataFrame, n: int) -> tuple[list[tuple[int, ...]], int]:
-    """The combinations of levels in use, rounded up to multiples of a step by which they are MOST_LEVELS at most."""
-    found = {tuple(r) for r in boxes.select(*(f"_l{k}" for k in range(n))).distinct().collect()}  # 64^n at most
-    step, combos = 1, found
-    while len(combos) > MOST_LEVELS:
+def _coarser(found: Mapping[tuple[int, ...], int]) -> tuple[list[tuple[int, ...]], tuple[int, ...], int]:
+    """The combinations of levels that boxes get, the highest level a side, and the step: levels are rounded up to the highest
+    less a multiple of it.
+
+    A point is sent once for each combination, so the step is the largest of STEPS by which the boxes' cells together
+    are at most MOST_AREA times as large, and larger still if MOST_LEVELS asks for it.
+    """
+    tops = tuple(map(max, zip(*found)))
+    raised = lambda c, step: tuple(top - (top - x) // step * step for x, top in zip(c, tops))
+    area = lambda step: sum(n << sum(raised(c, step)) for c, n in found.items())
+    step = next((s for s in STEPS if area(s) <= MOST_AREA * area(1)), 1)
+    while len({raised(c, step) for c in found}) > MOST_LEVELS:
         step *= 2
-        combos = {tuple(min(-(-x // step) * step, TOP) for x in c) for c in found}
-    return sorted(combos), step
+    return sorted({raised(c, step) for c in found}), tops, step
 
 
 def within(points: DataFrame, boxes: DataFrame, sides: Sequence[tuple[str, str, str]], keys: Sequence[tuple[str, str]] = (), fine: int = 1) -> DataFrame:
@@ -45,8 +51,8 @@ def within(points: DataFrame, boxes: DataFrame, sides: Sequence[tuple[str, str,
     for all (column, column) of ``keys`` equality. All columns of both.
 
     Coordinates and bounds are integers of magnitude below 2^62. A box is put into the cells it meets on a grid of cells ``fine`` levels
-    smaller than it (at most 2^fine + 1 a side), a point into one cell for each combination of levels that boxes have;
-    they meet by equality of the cells, in one cell at most, and are compared then. Boxes with low > high hold nothing;
+    smaller than it, or coarser ones (at most 2^fine + 1 a side), a point into one cell for each combination of levels that
+    boxes get (``_coarser``), if it is within the bounds of all boxes together; they meet by equality of the cells, in one cell at most, and are compared then. Boxes with low > high hold nothing;
     neither do nulls in bounds, coordinates or keys. Repeated rows give repeated pairs.
     """
     if not sides:
@@ -59,14 +65,18 @@ def within(points: DataFrame, boxes: DataFrame, sides: Sequence[tuple[str, str,
     n = min(len(sides), CELL_SIDES)
     length = lambda lo, hi: F.when(F.col(lo) == F.col(hi), 0).otherwise(F.length(F.bin(F.col(hi) - F.col(lo))))
     boxed = boxes.where(valid).select("*", *(F.greatest(length(lo, hi) - fine, F.lit(0)).alias(f"_l{k}") for k, (lo, hi) in enumerate(spans[:n])))
-    combos, step = _levels(boxed, n)
-    if not combos:
+    ends = [f(F.col(c).cast("bigint")).alias(f"_{x}{k}") for k, span in enumerate(spans) for x, f, c in zip("ab", (F.min, F.max), span)]
+    groups = boxed.groupBy(*(f"_l{k}" for k in range(n))).agg(F.count("*").alias("_n"), *ends).collect()  # 64^n rows at most
+    if not groups:
         return points.join(boxes, F.lit(False))
+    combos, tops, step = _coarser({tuple(r[f"_l{k}"] for k in range(n)): r["_n"] for r in groups})
     for k, (lo, hi) in enumerate(spans[:n]):
-        boxed = boxed.withColumn(f"_l{k}", F.least(F.ceil(F.col(f"_l{k}") / step) * step, F.lit(TOP)).cast("int"))
+        boxed = boxed.withColumn(f"_l{k}", (F.lit(tops[k]) - F.floor((F.lit(tops[k]) - F.col(f"_l{k}")) / step) * step).cast("int"))
         boxed = boxed.withColumn(f"_c{k}", F.explode(F.expr(f"sequence(shiftright(CAST(`{lo}` AS BIGINT), _l{k}), shiftright(CAST(`{hi}` AS BIGINT), _l{k}))")))
     cells = F.array(*(F.struct(*(F.lit(x).alias(f"_m{k}") for k, x in enumerate(c)), *(F.shiftright(F.col(sides[k][0]).cast("bigint"), x).alias(f"_d{k}") for k, x in enumerate(c))) for c in combos))
     known = points.dropna(subset=[c for c, _, _ in sides] + [a for a, _ in keys])
+    for k, (c, _, _) in enumerate(sides):  # points outside of all boxes go nowhere
+        known = known.where(F.col(c).between(min(r[f"_a{k}"] for r in groups), max(r[f"_b{k}"] for r in groups)))
     placed = known.select("*", F.explode(cells).alias("_cell")).select("*", "_cell.*").drop("_cell")
     on = F.lit(True)
     for k in range(n):
@@ -75,7 +85,8 @@ def within(points: DataFrame, boxes: DataFrame, sides: Sequence[tuple[str, str,
         on = on & (F.col(a) == F.col(b))
     for c, lo, hi in sides:
         on = on & (F.col(c) >= F.col(lo)) & (F.col(c) <= F.col(hi))
-    return placed.join(boxed, on).select(*points.columns, *boxes.columns)
+    # Sizes are estimated before rows become several: by them a large side could be sent whole to every task.
+    return placed.join(boxed.hint("merge"), on).select(*points.columns, *boxes.columns)
 
 
 def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], keys: Sequence[tuple[str, str]] = ()) -> DataFrame:
