@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tensorloom import queries
+from tensorloom.operators import ranges
 
 
 def test_morton_order_is_settled_beyond_twenty_bits(spark, tmp_path):
@@ -15,3 +18,20 @@ def test_morton_order_is_settled_beyond_twenty_bits(spark, tmp_path):
     cells = [(x.i0, x.i1, x.i2) for x in found]
     assert len({bits(x) for x in cells}) < len(cells)
     assert [x.pos for x in found] == list(range(len(cells))) and cells == sorted(cells, key=lambda x: (bits(x), x))
+
+
+def test_points_go_to_few_levels_and_no_exploded_side_is_broadcast(spark):
+    boxes = spark.range(700).select(F.col("id").alias("lo"), (F.col("id") * 2).alias("hi"))  # ten levels
+    found = ranges.within(spark.range(500).select(F.col("id").alias("at")), boxes, [("at", "lo", "hi")])
+    text = found._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in text.split("== Physical Plan ==")[1] and "BroadcastHashJoin" not in text
+    cells = text.split("== Optimized Logical Plan ==")[1].split("explode(")[1].split("\n")[0]
+    assert cells.count("_m0") <= 3
+    assert found.count() == sum(x <= at <= 2 * x for x in range(700) for at in range(500))
+
+
+def test_levels_that_would_widen_cells_too_much_stay_apart():
+    tiny = {(0,): 10**9, (40,): 1}
+    assert ranges._coarser(tiny)[0] == [(0,), (40,)]
+    assert ranges._coarser({(x,): 1 << x for x in range(10)})[0] == [(1,), (5,), (9,)]
+    assert len(ranges._coarser({(x, y): 1 for x in range(60) for y in range(60)})[0]) <= ranges.MOST_LEVELS
