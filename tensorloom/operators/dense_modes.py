@@ -53,7 +53,7 @@ def to_blocks(x: SparseTensor, dense: Sequence[int]) -> BlockTensor:
     """The modes ``dense`` as blocks, in that order; entries with equal coordinates are summed."""
     out = BlockTensor(x.df, x.ndims, tuple(dense))
     at = sum((F.col(f"i{k}") * s for k, s in zip(out.dense, out.strides)), F.lit(0).cast("bigint"))
-    cells = x.df.select(*out.sparse, at.alias("k"), "v").groupBy(*out.sparse, "k").agg(F.sum("v").alias("v"))
+    cells = x.dealt(out.sparse).select(*out.sparse, at.alias("k"), "v").groupBy(*out.sparse, "k").agg(F.sum("v").alias("v"))
     rows = cells.groupBy(*out.sparse).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("at"))
     if not out.sparse:
         rows = rows.where(F.size("at") > 0)

@@ -38,11 +38,14 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _lines(spark, d, where: str | None = None, modes=None, ndims=None) -> SparseTensor:
-    rows = _table(spark, d, "lineitem")
+    rows, most = _table(spark, d, "lineitem"), None
     modes = modes or [F.col("l_suppkey"), F.col("l_linenumber") - 1, F.year("l_shipdate") - 1995]
     if ndims is None:
-        ndims = tuple(x + 1 for x in rows.agg(*(F.max(m.cast("bigint")) for m in modes)).first())
-    return SparseTensor.from_dataframe(rows.where(where) if where else rows, modes, "l_quantity", ndims)
+        *top, most = rows.agg(*(F.max(m.cast("bigint")) for m in modes), F.count("*")).first()
+        ndims = tuple(x + 1 for x in top)
+    out = SparseTensor.from_dataframe(rows.where(where) if where else rows, modes, "l_quantity", ndims)
+    out.most = most
+    return out
 
 
 def x_of(spark, d) -> SparseTensor:

@@ -13,6 +13,8 @@ from tensorloom.errors import ShapeMismatchError, TensorValueError
 
 #: Bytes of a side (rows and width are known from dimensions) up to which a join broadcasts it.
 BROADCAST_BYTES = 64 << 20
+#: Entries of a task where they are dealt out by their known number.
+A_TASK = 1 << 18
 
 
 def mode_names(n: int) -> list[str]:
@@ -35,6 +37,8 @@ class SparseTensor:
     df: DataFrame
     ndims: tuple[int, ...]
     sortorder: tuple[int, ...] | None = field(default=None)
+    #: No more entries than that, if it is known.
+    most: int | None = field(default=None)
 
     def __post_init__(self):
         self.ndims = tuple(int(d) for d in self.ndims)
@@ -56,17 +60,18 @@ class SparseTensor:
     def from_dataframe(df: DataFrame, modes: Sequence[Column | str], value: Column | str, ndims: Sequence[int] | None = None, how: str = "sum") -> SparseTensor:
         """One entry for each combination of ``modes`` in ``df``, ``value`` aggregated (sum, count, min, max, avg).
 
-        Rows with a null mode or value are left out. Without ``ndims`` one aggregate finds the largest indices.
+        Rows with a null mode or value are left out. Without ``ndims`` one aggregate finds the largest indices and counts the rows.
         """
         as_col = lambda c: F.col(c) if isinstance(c, str) else c
         names = mode_names(len(modes))
         rows = df.select(*(as_col(c).cast("bigint").alias(n) for n, c in zip(names, modes)), as_col(value).cast("double").alias("v")).dropna()
         agg = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg}[how]
         out = rows.groupBy(*names).agg(agg("v").cast("double").alias("v"))
+        most = None
         if ndims is None:
-            top = rows.agg(*(F.max(n) for n in names)).first()
+            *top, most = rows.agg(*(F.max(n) for n in names), F.count("*")).first()
             ndims = tuple((x if x is not None else -1) + 1 for x in top)
-        return SparseTensor(out, tuple(ndims))
+        return SparseTensor(out, tuple(ndims), most=most)
 
     @property
     def nmodes(self) -> int:
@@ -104,6 +109,15 @@ class SparseTensor:
             raise TensorValueError("an index is out of bounds")
         return self
 
+    def dealt(self, by: Sequence[Column | str]) -> DataFrame:
+        """The entries dealt out by ``by``, to as many tasks as their known number asks for; left as they are if it isn't known.
+
+        So a task's sums don't grow with the tensor, however few tasks the session's settings would make.
+        """
+        if self.most is None or not by:
+            return self.df
+        return self.df.repartition(max(self.df.sparkSession.sparkContext.defaultParallelism, -(-self.most // A_TASK)), *by)
+
     def coalesce_duplicates(self) -> SparseTensor:
         """Entries with equal coordinates summed."""
         return self.with_df(self.df.groupBy(*self.modes).agg(F.sum("v").alias("v")))

@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tensorloom import queries
-from tensorloom.operators import ranges
+from tensorloom import queries, tensor
+from tensorloom.operators import dense_modes, hicoo, ranges
+from tensorloom.tensor import SparseTensor
 
 
 def test_morton_order_is_settled_beyond_twenty_bits(spark, tmp_path):
@@ -35,3 +37,13 @@ def test_levels_that_would_widen_cells_too_much_stay_apart():
     assert ranges._coarser(tiny)[0] == [(0,), (40,)]
     assert ranges._coarser({(x,): 1 << x for x in range(10)})[0] == [(1,), (5,), (9,)]
     assert len(ranges._coarser({(x, y): 1 for x in range(60) for y in range(60)})[0]) <= ranges.MOST_LEVELS
+
+
+@pytest.mark.parametrize("build", [lambda x: hicoo.to_hicoo(x, 2, 4).df, lambda x: dense_modes.to_blocks(x, [2]).df])
+def test_blocks_come_from_as_many_tasks_as_there_are_entries_for(spark, monkeypatch, build):
+    monkeypatch.setattr(tensor, "A_TASK", 100)
+    rows = spark.range(5000).select((F.col("id") % 71).alias("a"), (F.col("id") % 1009).alias("b"), (F.col("id") % 7).alias("c"), F.lit(1.0).alias("w"))
+    x = SparseTensor.from_dataframe(rows, ["a", "b", "c"], "w")
+    found = build(x)
+    assert x.most == 5000 and found.rdd.getNumPartitions() == 50
+    assert sorted(map(str, found.collect())) == sorted(map(str, build(SparseTensor(x.df, x.ndims)).collect()))
