@@ -46,7 +46,8 @@ def to_hicoo(x: SparseTensor, sb_bits: int = 7, sk_bits: int = 10) -> HiCOO:
     offsets = F.struct(*(F.col(m).bitwiseAND(low).cast("smallint").alias(f"e{k}") for k, m in enumerate(x.modes)), "v")
     keys = [F.shiftright(m, sk_bits).alias(f"k{k}") for k, m in enumerate(x.modes)] + [F.shiftright(m, sb_bits).alias(f"b{k}") for k, m in enumerate(x.modes)]
     names = [f"k{k}" for k in range(n)] + [f"b{k}" for k in range(n)]
-    df = x.df.select(*keys, offsets.alias("e")).groupBy(*names).agg(F.count("*").alias("nnz"), F.sort_array(F.collect_list("e")).alias("elems"))
+    dealt = x.dealt([F.shiftright(m, sb_bits) for m in x.modes])  # of distinct entries a block can't be too large for a task
+    df = dealt.select(*keys, offsets.alias("e")).groupBy(*names).agg(F.count("*").alias("nnz"), F.sort_array(F.collect_list("e")).alias("elems"))
     return HiCOO(df, x.ndims, sb_bits, sk_bits)
 
 
