@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.errors import ShapeMismatchError, TensorValueError
-from tensorloom.tensor import SemiSparseTensor, SparseTensor, bounded
+from tensorloom.tensor import BROADCAST_BYTES, SemiSparseTensor, SparseTensor, bounded
 
 #: Rank up to which a contraction has one aggregate a column; beyond, columns become rows.
 WIDE = 64
@@ -65,11 +65,11 @@ def sttm(y: SemiSparseTensor, u: DataFrame, mode: int, nrows: int, ncols: int) -
     return ttm(SparseTensor(cells, y.ndims), u, mode, nrows, ncols)
 
 
-def mttkrp(x: SparseTensor, factors: Sequence[DataFrame | None], mode: int, rank: int, dense: bool = True, order: Sequence[int] | None = None, dealt: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+def mttkrp(x: SparseTensor, factors: Sequence[DataFrame | None], mode: int, rank: int, dense: bool = True, order: Sequence[int] | None = None, dealt: DataFrame | None = None, by: Sequence[str] = (), limit: int = BROADCAST_BYTES) -> DataFrame:
     """(row, vals): M[i, r] = sum over entries with index i of v times the other factors' values of column r.
 
     ``factors``: (row, vals) for each mode (that of ``mode`` isn't read). They join in ``order``, broadcast
-    where their known size allows. The aggregate is partial before its shuffle, so a hot index costs a row a
+    where their known size is within ``limit``. The aggregate is partial before its shuffle, so a hot index costs a row a
     task and column. dense: rows without entries are zero; else they are left out. dealt: the
     entries with further columns ``by``, which the row determines and by which they are dealt out already.
     """
@@ -81,7 +81,7 @@ def mttkrp(x: SparseTensor, factors: Sequence[DataFrame | None], mode: int, rank
         if k == mode:
             continue
         names.append(f"_u{k}")
-        df = df.join(bounded(factors[k].select(F.col("row").alias(f"i{k}"), F.col("vals").alias(f"_u{k}")), x.ndims[k], rank), f"i{k}")
+        df = df.join(bounded(factors[k].select(F.col("row").alias(f"i{k}"), F.col("vals").alias(f"_u{k}")), x.ndims[k], rank, limit), f"i{k}")
     key = F.col(f"i{mode}").alias("row")
     if rank <= WIDE:
         out = df.groupBy(*by, key).agg(F.array(*(F.sum(reduce(lambda a, n: a * F.col(n)[r], names, F.col("v"))) for r in range(rank))).alias("vals")).select("row", "vals")
@@ -93,7 +93,7 @@ def mttkrp(x: SparseTensor, factors: Sequence[DataFrame | None], mode: int, rank
         return out
     every = x.df.sparkSession.range(x.ndims[mode]).withColumnRenamed("id", "row")
     zero = F.array_repeat(F.lit(0.0), rank)
-    return every.join(bounded(out, x.ndims[mode], rank), "row", "left").select("row", F.coalesce("vals", zero).alias("vals"))
+    return every.join(bounded(out, x.ndims[mode], rank, limit), "row", "left").select("row", F.coalesce("vals", zero).alias("vals"))
 
 
 def khatri_rao(a: SparseTensor, b: SparseTensor) -> SparseTensor:

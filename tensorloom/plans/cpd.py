@@ -7,16 +7,20 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.operators import matrix
-from tensorloom.operators.hicoo import HiCOO, hicoo_mttkrp
+from tensorloom.operators.hicoo import HiCOO, to_coo
 from tensorloom.operators.hicoo import norm_squared_df as hicoo_norm
 from tensorloom.operators.products import mttkrp
 from tensorloom.operators.reduce import norm_squared_df
 from tensorloom.storage import materialize
-from tensorloom.tensor import SparseTensor, bounded
+from tensorloom.tensor import A_TASK, SparseTensor, bounded, within_bytes
+
+#: Bytes of a factor up to which a step broadcasts it: a broadcast passes through the driver, and every step has some.
+STEP_BYTES = 20 << 20
 
 
 @dataclass
@@ -90,18 +94,26 @@ def cpd_als(x: SparseTensor | HiCOO, rank: int = 16, niters: int = 5, tol: float
     A step is two jobs: contraction and solution are written to the shared folder side by side, so that a plan
     never holds more than one step; one aggregate then takes the Gram matrix, the largest values and the inner
     product, and normalizing scales them in the driver, which handles rank by rank matrices only.
+
+    Where a factor is too large to be broadcast in every step, the entries (of blocks: unpacked) are dealt out once by that mode, the
+    largest, and kept sorted on the executors' disks: its factor comes to them then, and its sums aren't shuffled.
     """
     blocked = isinstance(x, HiCOO)
     spark, n = x.df.sparkSession, len(x.ndims)
     x = HiCOO(materialize(x.df, "blocks"), x.ndims, x.sb_bits, x.sk_bits) if blocked else x.with_df(materialize(x.df, "entries"))
-    contract = hicoo_mttkrp if blocked else mttkrp
     norm_sq = float((hicoo_norm(x) if blocked else norm_squared_df(x)).first()[0])
+    entries, kept = to_coo(x) if blocked else x, None
+    largest = max(range(n), key=lambda k: x.ndims[k])
+    if not within_bytes(x.ndims[largest], rank, STEP_BYTES):
+        parts = max(spark.sparkContext.defaultParallelism, -(-entries.nnz // A_TASK))
+        kept = entries.df.repartition(parts, f"i{largest}").sortWithinPartitions(f"i{largest}").persist(StorageLevel.DISK_ONLY)
+        entries = entries.with_df(kept)
     factors = [matrix.randomize(spark, d, rank, seed + k) for k, d in enumerate(x.ndims)]
     grams = [matrix.gram(a, rank) for a in factors]
     lam, fit, product = [1.0] * rank, 0.0, None
     for it in range(niters):
         for m in range(n):
-            product = contract(x, factors, m, rank).withColumn("product", F.col("vals"))
+            product = mttkrp(entries, factors, m, rank, limit=STEP_BYTES).withColumn("product", F.col("vals"))
             solved = materialize(matrix.solve_normals(product, grams, m, keep=["product"]), "solved")
             gram, most, inner = _sums(solved, rank)
             lam = list(np.sqrt(np.diag(gram))) if it == 0 else most
@@ -109,6 +121,8 @@ def cpd_als(x: SparseTensor | HiCOO, rank: int = 16, niters: int = 5, tol: float
         before, fit = fit, fit_of(norm_sq, model_norm_squared(lam, grams), inner)
         if it and abs(fit - before) < tol:
             break
+    if kept is not None:
+        kept.unpersist()
     for m, gram in enumerate(grams):
         norms = list(np.sqrt(np.diag(gram)))
         factors[m], lam = matrix.scaled(factors[m], norms), [float(x * y) for x, y in zip(lam, norms)]

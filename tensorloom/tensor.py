@@ -25,9 +25,14 @@ def schema(n: int) -> T.StructType:
     return T.StructType([T.StructField(m, T.LongType(), False) for m in mode_names(n)] + [T.StructField("v", T.DoubleType(), False)])
 
 
-def bounded(df: DataFrame, rows: int, width: int) -> DataFrame:
-    """``df`` with a broadcast hint if ``rows`` rows of ``width`` numbers are within BROADCAST_BYTES."""
-    return F.broadcast(df) if rows * (width + 2) * 8 <= BROADCAST_BYTES else df
+def within_bytes(rows: int, width: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether ``rows`` rows of ``width`` numbers have ``limit`` bytes at most."""
+    return rows * (width + 2) * 8 <= limit
+
+
+def bounded(df: DataFrame, rows: int, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if ``rows`` rows of ``width`` numbers are within ``limit``."""
+    return F.broadcast(df) if within_bytes(rows, width, limit) else df
 
 
 @dataclass

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tensorloom import queries, tensor
 from tensorloom.operators import dense_modes, hicoo, ranges
+from tensorloom.plans import cpd
 from tensorloom.tensor import SparseTensor
 
 
@@ -47,3 +48,25 @@ def test_blocks_come_from_as_many_tasks_as_there_are_entries_for(spark, monkeypa
     found = build(x)
     assert x.most == 5000 and found.rdd.getNumPartitions() == 50
     assert sorted(map(str, found.collect())) == sorted(map(str, build(SparseTensor(x.df, x.ndims)).collect()))
+
+
+@pytest.mark.parametrize("blocked", [False, True])
+def test_large_factors_of_a_decomposition_are_not_broadcast(spark, monkeypatch, blocked):
+    r = random.Random(2)
+    cells = {(r.randrange(4), r.randrange(300), r.randrange(3)): float(r.randrange(1, 9)) for _ in range(600)}
+    x = SparseTensor.from_rows(spark, [(*c, v) for c, v in cells.items()], (4, 300, 3))
+    x = hicoo.to_hicoo(x, 2, 4) if blocked else x
+    want = cpd.cpd_als(x, 2, 2)
+    monkeypatch.setattr(cpd, "STEP_BYTES", 1000)
+    limits, step = [], cpd.mttkrp
+
+    def seen(entries, *args, **more):
+        out = step(entries, *args, **more)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        limits.append((args[1], "InMemoryRelation" in plan, plan.count("strategy=broadcast")))
+        return out
+
+    monkeypatch.setattr(cpd, "mttkrp", seen)
+    found = cpd.cpd_als(x, 2, 2)
+    assert found.fit == pytest.approx(want.fit) and found.lam == pytest.approx(want.lam)
+    assert all(kept for _, kept, _ in limits) and {(m, n) for m, _, n in limits} == {(0, 2), (1, 2), (2, 2)}
