@@ -254,3 +254,30 @@ def test_customers_come_and_go():
     for want in (n[::-1].clip(max=4000), n.clip(max=3500)):
         sizes, seats = pitman_yor.reseated(sizes, seats, want, a, 0.7, key) if (want == n).all() else pitman_yor.reseated(*pitman_yor.seated(n.clip(max=3500), a, 0.7, key), want, a, 0.7, key)
         assert of(sizes, seats) == want.tolist() and (sizes > 0).all()
+
+
+def test_model_counts_chunks_with_one_numbering_and_free_bits():
+    chunk = pitman_yor.Chunk()
+    chunk.add(b"a b a")
+    first = chunk.read()[0]
+    chunk.clear()
+    chunk.add(b"c a")
+    hashes, number, _, text = chunk.read()
+    assert (hashes[: len(first)] == first).all() and len(hashes) == len(first) + 1
+    assert not (hashes & pitman_yor.KINDS).any() and list(text) == [0, 0, 0]
+    assert list(hashes[number.astype(np.int64)][1:]) == [first[2], first[1]]  # a, end; start, end, a, b were numbered
+
+
+def test_model_lets_many_customers_leave_together():
+    """As one after another: tables in proportion, none empty, none in between."""
+    dishes, draws = 2000, uniform_draws(2000)
+    m = np.tile(np.array([60, 30, 9, 1], np.int64), (dishes, 1))
+    t, n = np.full(dishes, 4), np.full(dishes, 100)
+    pitman_yor._leave_many(m, t, n, np.arange(dishes), np.full(dishes, 50), draws)
+    assert (n == 50).all() and (m.sum(1) == 50).all() and ((m > 0).sum(1) == t).all()
+    assert ((np.arange(4) < t[:, None]) == (m > 0)).all()
+    assert abs(m[:, 0].mean() - 30) < 0.3 and abs((t == 3).mean() - 0.5) < 0.05
+
+
+def uniform_draws(n: int) -> np.ndarray:
+    return pitman_yor.mixed(np.arange(n, dtype=np.uint64))
