@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,8 @@ from tensorloom.errors import TensorValueError
 from tensorloom.functions.keys import morton
 from tensorloom.operators.positions import with_pos
 from tensorloom.operators.products import mttkrp
-from tensorloom.tensor import SparseTensor, mode_names
+from tensorloom.storage import materialize
+from tensorloom.tensor import SparseTensor, bounded, mode_names, tasks_of
 
 #: Bits of the number of entries in completed blocks at which a chunk ends.
 CHUNK_BITS = 14
@@ -28,6 +29,8 @@ class HiCOO:
     ndims: tuple[int, ...]
     sb_bits: int
     sk_bits: int
+    #: No more entries, so no more blocks and kernels than that, if it is known.
+    most: int | None = None
 
     @property
     def kernels(self) -> list[str]:
@@ -44,11 +47,11 @@ def to_hicoo(x: SparseTensor, sb_bits: int = 7, sk_bits: int = 10) -> HiCOO:
         raise TensorValueError(f"sb_bits {sb_bits}, sk_bits {sk_bits}")
     n, low = x.nmodes, F.lit((1 << sb_bits) - 1).cast("bigint")
     offsets = F.struct(*(F.col(m).bitwiseAND(low).cast("smallint").alias(f"e{k}") for k, m in enumerate(x.modes)), "v")
-    keys = [F.shiftright(m, sk_bits).alias(f"k{k}") for k, m in enumerate(x.modes)] + [F.shiftright(m, sb_bits).alias(f"b{k}") for k, m in enumerate(x.modes)]
+    keys = [F.shiftright(m, sk_bits).alias(f"k{k}") for k, m in enumerate(x.modes)] + [F.col(f"_d{k}").alias(f"b{k}") for k in range(n)]
     names = [f"k{k}" for k in range(n)] + [f"b{k}" for k in range(n)]
     dealt = x.dealt([F.shiftright(m, sb_bits) for m in x.modes])  # of distinct entries a block can't be too large for a task
     df = dealt.select(*keys, offsets.alias("e")).groupBy(*names).agg(F.count("*").alias("nnz"), F.sort_array(F.collect_list("e")).alias("elems"))
-    return HiCOO(df, x.ndims, sb_bits, sk_bits)
+    return HiCOO(df, x.ndims, sb_bits, sk_bits, x.most)
 
 
 def entries(h: HiCOO, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -64,16 +67,20 @@ def to_coo(h: HiCOO) -> SparseTensor:
 
 def kernel_pointers(h: HiCOO) -> DataFrame:
     """(k0.., kid, nnz, kptr, blocks): kernels in order, with their first entry's position."""
-    kernels = h.df.groupBy(*h.kernels).agg(F.sum("nnz").alias("nnz"), F.count("*").alias("blocks"))
-    return with_pos(kernels, h.kernels, {"kptr": "nnz"}).withColumnRenamed("pos", "kid")
+    kernels = _dealt(h.df.drop("elems"), h, h.kernels).groupBy(*h.kernels).agg(F.sum("nnz").alias("nnz"), F.count("*").alias("blocks"))
+    return with_pos(kernels, h.kernels, {"kptr": "nnz"}, rows=h.most).withColumnRenamed("pos", "kid")
+
+
+def _dealt(df: DataFrame, h: HiCOO, by: list[str]) -> DataFrame:
+    """Rows of ``h``'s blocks or kernels dealt out by ``by``, to as many tasks as the known number of its entries asks for."""
+    return df.repartition(tasks_of(h.most), *by) if h.most and tasks_of(h.most) > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*by)
 
 
 def block_pointers(h: HiCOO) -> DataFrame:
     """(kid, bid, b0.., nnz, bptr): blocks by kernel and within a kernel in Z-order, with their first entry's position."""
     width = max(1, max((d - 1) >> h.sb_bits for d in h.ndims).bit_length())
-    ranked = with_pos(h.df.drop("elems"), [*map(F.col, h.kernels), *morton([F.col(b) for b in h.blocks], width)], {"bptr": "nnz"})
-    kernels = kernel_pointers(h).select(*h.kernels, "kid")
-    return ranked.join(kernels, h.kernels).select("kid", F.col("pos").alias("bid"), *h.blocks, "nnz", "bptr")
+    ranked = with_pos(h.df.drop("elems"), [*map(F.col, h.kernels), *morton([F.col(b) for b in h.blocks], width)], {"bptr": "nnz"}, {"kid": h.kernels}, h.most)
+    return ranked.select("kid", F.col("pos").alias("bid"), *h.blocks, "nnz", "bptr")
 
 
 def chunk_pointers(h: HiCOO, bits: int = CHUNK_BITS) -> DataFrame:
@@ -106,16 +113,16 @@ def chunk_pointers(h: HiCOO, bits: int = CHUNK_BITS) -> DataFrame:
             columns = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["kid", "cid", "first_block"])
 
-    blocks = block_pointers(h).select("kid", "bid", "nnz").repartition("kid").sortWithinPartitions("kid", "bid")
+    blocks = _dealt(block_pointers(h).select("kid", "bid", "nnz"), h, ["kid"]).sortWithinPartitions("kid", "bid")
     return blocks.mapInArrow(batches, "kid bigint, cid int, first_block bigint")
 
 
 def schedule(h: HiCOO) -> DataFrame:
     """(mode, k, place, kid): the kernels that share a coordinate, numbered; a row a kernel and mode."""
     rows = kernel_pointers(h).select("kid", F.posexplode(F.array(*h.kernels)).alias("mode", "k"))
-    placed = with_pos(rows, ["mode", "k", "kid"])
+    placed = with_pos(rows, ["mode", "k", "kid"], rows=h.most and h.most * len(h.ndims))
     starts = placed.groupBy("mode", "k").agg(F.min("pos").alias("start"))
-    return placed.join(starts, ["mode", "k"]).select("mode", "k", (F.col("pos") - F.col("start")).alias("place"), "kid")
+    return placed.join(bounded(starts, sum(-(-d // (1 << h.sk_bits)) for d in h.ndims), 3), ["mode", "k"]).select("mode", "k", (F.col("pos") - F.col("start")).alias("place"), "kid")
 
 
 #: Bytes of a value, an element's offset, a block's coordinate, a pointer into the entries and an index in the format.
@@ -127,20 +134,23 @@ def status(h: HiCOO) -> DataFrame:
     alpha; bytes of the format; for each mode the kernel coordinates (kdim) and the most kernels that share one (kiters).
     """
     side, n = float(1 << h.sb_bits), len(h.ndims)
+    h = replace(h, df=materialize(h.df.drop("elems"), "blocks"))
     of_blocks = h.df.agg(
-        F.count("*").alias("nb"), F.count_distinct(*h.kernels).alias("nk"), F.sum("nnz").alias("nnz"), F.max("nnz").alias("max_nnzb"), F.min("nnz").alias("min_nnzb"),
+        F.count("*").alias("nb"), F.sum("nnz").alias("nnz"), F.max("nnz").alias("max_nnzb"), F.min("nnz").alias("min_nnzb"),
         F.floor(F.sum("nnz") / F.count("*")).alias("avg_nnzb"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY nnz)").cast("bigint").alias("median_nnzb"),
         F.round(F.exp(F.avg(F.log(F.col("nnz") / side))), 6).alias("geo_mean"), F.round(F.count("*") / F.sum("nnz"), 6).alias("alpha_b"),
     )
     chunks = chunk_pointers(h).agg(F.count("*").alias("nc"))
-    kernels = h.df.select(*h.kernels).distinct().select(F.posexplode(F.array(*h.kernels)).alias("mode", "k"))
-    shared = kernels.groupBy("mode", "k").agg(F.count("*").alias("n")).groupBy().agg(*(F.max(F.when(F.col("mode") == m, F.col("n"))).alias(f"kiters{m}") for m in range(n)))
+    kernels = _dealt(h.df.select(*h.kernels), h, h.kernels).distinct().select(F.posexplode(F.array(*h.kernels)).alias("mode", "k"))
+    of_mode = lambda m: F.when(F.col("mode") == m, F.col("n"))
+    shared = kernels.groupBy("mode", "k").agg(F.count("*").alias("n")).groupBy().agg(F.coalesce(F.sum(of_mode(0)), F.lit(0)).alias("nk"), *(F.max(of_mode(m)).alias(f"kiters{m}") for m in range(n)))
     kdim = [-(-d // (1 << h.sk_bits)) for d in h.ndims]
     entries = F.col("nnz") * (VALUE_BYTES + n * OFFSET_BYTES) + F.col("nb") * n * BLOCK_BYTES
     pointers = (F.col("nb") + F.col("nk") + F.col("nc") + 3) * POINTER_BYTES
     scheduled = F.col("nk") * n * INDEX_BYTES + (sum(kdim) + n) * 8 + n * INDEX_BYTES
     whole = of_blocks.crossJoin(chunks).crossJoin(shared)  # a row each
-    return whole.select("*", (entries + pointers + scheduled).alias("bytes"), *(F.lit(d).cast("bigint").alias(f"kdim{m}") for m, d in enumerate(kdim)))
+    first = ["nb", "nk", *(c for c in of_blocks.columns if c != "nb"), "nc", *(f"kiters{m}" for m in range(n))]
+    return whole.select(*first, (entries + pointers + scheduled).alias("bytes"), *(F.lit(d).cast("bigint").alias(f"kdim{m}") for m, d in enumerate(kdim)))
 
 
 def norm_squared_df(h: HiCOO) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -17,6 +18,11 @@ BROADCAST_BYTES = 64 << 20
 A_TASK = 1 << 18
 
 
+def tasks_of(rows: int) -> int:
+    """Tasks that ``rows`` rows ask for."""
+    return -(-rows // A_TASK)
+
+
 def mode_names(n: int) -> list[str]:
     return [f"i{k}" for k in range(n)]
 
@@ -44,6 +50,8 @@ class SparseTensor:
     sortorder: tuple[int, ...] | None = field(default=None)
     #: No more entries than that, if it is known.
     most: int | None = field(default=None)
+    #: The rows that the entries are aggregates of, and how: ``dealt`` deals them out before they are aggregated.
+    rows: tuple[DataFrame, Column] | None = field(default=None)
 
     def __post_init__(self):
         self.ndims = tuple(int(d) for d in self.ndims)
@@ -76,7 +84,7 @@ class SparseTensor:
         if ndims is None:
             *top, most = rows.agg(*(F.max(n) for n in names), F.count("*")).first()
             ndims = tuple((x if x is not None else -1) + 1 for x in top)
-        return SparseTensor(out, tuple(ndims), most=most)
+        return SparseTensor(out, tuple(ndims), most=most, rows=(rows, agg("v").cast("double").alias("v")))
 
     @property
     def nmodes(self) -> int:
@@ -116,12 +124,21 @@ class SparseTensor:
 
     def dealt(self, by: Sequence[Column | str]) -> DataFrame:
         """The entries dealt out by ``by``, to as many tasks as their known number asks for; left as they are if it isn't known.
+        Expressions of ``by`` become columns _d0 ...
 
-        So a task's sums don't grow with the tensor, however few tasks the session's settings would make.
+        So a task's sums don't grow with the tensor, however few tasks the session's settings would make. Where there are
+        more cells than these tasks should have entries, rows are dealt out before they are aggregated, once, and aggregated there.
         """
+        names = [b if isinstance(b, str) else f"_d{k}" for k, b in enumerate(by)]
+        more = [b.alias(n) for b, n in zip(by, names) if not isinstance(b, str)]
         if self.most is None or not by:
-            return self.df
-        return self.df.repartition(max(self.df.sparkSession.sparkContext.defaultParallelism, -(-self.most // A_TASK)), *by)
+            return self.df.select("*", *more)
+        spark = self.df.sparkSession
+        parts = max(spark.sparkContext.defaultParallelism, tasks_of(self.most))
+        if self.rows is None or math.prod(self.ndims) <= A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")):
+            return self.df.select("*", *more).repartition(parts, *names)
+        rows, agg = self.rows
+        return rows.select("*", *more).repartition(parts, *names).groupBy(*dict.fromkeys([*names, *self.modes])).agg(agg)
 
     def coalesce_duplicates(self) -> SparseTensor:
         """Entries with equal coordinates summed."""

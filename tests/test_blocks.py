@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tensorloom import tensor
 from tensorloom.errors import ShapeMismatchError
-from tensorloom.operators import dense_modes, hicoo, matrix, order, products, reshape, tiled
+from tensorloom.operators import dense_modes, hicoo, matrix, order, positions, products, reshape, tiled
+from tensorloom.operators.positions import with_pos
 from tensorloom.plans import tucker
 from tensorloom.sources.generate import diagonal_tensor
 from tensorloom.storage import materialize
@@ -216,3 +218,34 @@ def test_tucker_against_numpy(spark):
         assert np.allclose(full @ full.T, f @ f.T, atol=1e-8) and np.allclose(full.T @ full, np.eye(f.shape[1]), atol=1e-8)
     with pytest.raises(ShapeMismatchError):
         tucker.tucker(sparse(spark, a), (2, 3, 2, 13))
+
+
+def test_tasks_of_blocks_follow_the_known_number_of_entries(spark, monkeypatch):
+    """Rows are dealt out before they are summed, blocks and kernels to as many tasks as there are entries for; kernels aren't cut."""
+    rows = spark.createDataFrame([(i * 7 % 50, i * 11 % 60, i % 40, 1.0) for i in range(900)] * 2, "a bigint, b bigint, c bigint, v double")
+    plain = SparseTensor.from_dataframe(rows, ["a", "b", "c"], "v")
+    want = {f: sorted(map(tuple, f(hicoo.to_hicoo(plain, 2, 4)).collect())) for f in (hicoo.kernel_pointers, hicoo.block_pointers, hicoo.chunk_pointers, hicoo.schedule, hicoo.status)}
+    blocks = sorted(map(tuple, hicoo.to_hicoo(plain, 2, 4).df.collect()))
+    monkeypatch.setattr(tensor, "A_TASK", 100)
+    ranges = []
+    monkeypatch.setattr(positions, "materialize", lambda df, tag: (ranges.append(df.rdd.getNumPartitions()), materialize(df, tag))[1])
+    x = SparseTensor.from_dataframe(rows, ["a", "b", "c"], "v")
+    assert x.most == 1800 and x.dealt(["i0"]).rdd.getNumPartitions() == 18
+    h = hicoo.to_hicoo(x, 2, 4)
+    plan = h.df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # rows are shuffled once, neither sums nor blocks are
+    assert sorted(map(tuple, h.df.collect())) == blocks
+    for f, rows_of in want.items():
+        assert sorted(map(tuple, f(h).collect())) == rows_of
+    assert ranges and min(ranges) >= 18
+
+
+def test_runs_are_numbered_over_partitions(spark):
+    df = spark.createDataFrame([(i // 7 % 5, i // 3, i) for i in range(200)], "a bigint, b bigint, n bigint")
+    got = with_pos(df, ["a", "b", "n"], {"before": "n"}, {"run": ["a", "b"]}).orderBy("pos").collect()
+    want, total = sorted((i // 7 % 5, i // 3, i) for i in range(200)), 0
+    groups = sorted({w[:2] for w in want})
+    assert [r["run"] for r in got] == [groups.index(w[:2]) for w in want]
+    for r, w in zip(got, want):
+        assert (r["a"], r["b"], r["n"], r["before"]) == (*w, total)
+        total += w[2]
