@@ -31,6 +31,8 @@ class HiCOO:
     sk_bits: int
     #: No more entries, so no more blocks and kernels than that, if it is known.
     most: int | None = None
+    #: Rows with the coordinates i0.. of the entries, if they are known, some perhaps more than once: for counts without making blocks.
+    cells: DataFrame | None = None
 
     @property
     def kernels(self) -> list[str]:
@@ -51,7 +53,7 @@ def to_hicoo(x: SparseTensor, sb_bits: int = 7, sk_bits: int = 10) -> HiCOO:
     names = [f"k{k}" for k in range(n)] + [f"b{k}" for k in range(n)]
     dealt = x.dealt([F.shiftright(m, sb_bits) for m in x.modes])  # of distinct entries a block can't be too large for a task
     df = dealt.select(*keys, offsets.alias("e")).groupBy(*names).agg(F.count("*").alias("nnz"), F.sort_array(F.collect_list("e")).alias("elems"))
-    return HiCOO(df, x.ndims, sb_bits, sk_bits, x.most)
+    return HiCOO(df, x.ndims, sb_bits, sk_bits, x.most, x.rows[0] if x.rows else x.df)
 
 
 def entries(h: HiCOO, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -34,6 +34,49 @@ def test_tiles_hold_missing_rows(spark):
     assert got == {0: [0, 0, 1, 2, 0, 0, 0, 0], 1: [0, 0, 0, 0, 3, 4, 0, 0]}
 
 
+def sent_to_python(plan) -> int:
+    """Bytes that tasks of an executed plan have sent to Python."""
+    kind = plan.nodeName()
+    if kind == "AdaptiveSparkPlan":
+        return sent_to_python(plan.executedPlan())
+    if kind.endswith("QueryStage"):
+        return sent_to_python(plan.plan())
+    here, below = plan.metrics().get("pythonDataSent"), plan.children()
+    return (here.get().value() if here.isDefined() else 0) + sum(sent_to_python(below.apply(i)) for i in range(below.size()))
+
+
+@pytest.mark.parametrize("mode", [0, 1])
+def test_tiles_are_not_sent_once_a_block(spark, mode):
+    """Blocks of about one entry: what tasks read grows with entries and tiles, not with a tile of 4 KB a block."""
+    n, rank = 4000, 16
+    rows = spark.range(n).select((F.col("id") * 977 % 2039).alias("i0"), (F.col("id") * 1571 % 2017).alias("i1"), (F.col("id") % 7).alias("i2"), (F.col("id") % 13 + 1).cast("double").alias("v"))
+    x = SparseTensor(rows, (2039, 2017, 7))
+    h = hicoo.to_hicoo(x, 5, 8)
+    us = [np.random.default_rng(k).integers(-5, 6, (d, rank)).astype(float) for k, d in enumerate(x.ndims)]
+    got = tiled.hicoo_mttkrp_tiled(h, [frame(spark, u) for u in us], mode, rank, dense=False)
+    found, (i, j, k, v) = {r["row"]: r["vals"] for r in got.collect()}, np.array(rows.collect()).T
+    at, other = ((i, j), (j, i))[mode]
+    want = np.zeros((x.ndims[mode], rank))
+    np.add.at(want, at.astype(int), v[:, None] * us[1 - mode][other.astype(int)] * us[2][k.astype(int)])
+    assert found == {int(r): list(want[int(r)]) for r in set(at)}
+    assert h.df.count() > n // 2 and sent_to_python(got._jdf.queryExecution().executedPlan()) < 1000 * n
+
+
+def test_a_hot_tile_goes_to_many_tasks(spark, monkeypatch):
+    """Most entries are in one tile: they are spread, each after its tile, and a missing tile's blocks add nothing."""
+    monkeypatch.setattr(tiled, "A_TASK", 100)
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 4).otherwise(F.col("id") % 64).alias("i1"), (F.col("id") % 3).alias("i2"), F.lit(1.0).alias("v"))
+    h = hicoo.to_hicoo(SparseTensor.from_dataframe(rows, ["id", "i1", "i2"], "v"), 2, 3)
+    us = [matrix.randomize(spark, d, 2, k) for k, d in enumerate(h.ndims)]
+    us[1] = us[1].where("row not between 8 and 11")
+    sides = tiled._beside(h, h.df.select(*h.blocks, "elems"), tiled._tiles(h, us[1], 1, 2), 1).where("b1 = 0")
+    of = sides.groupBy(F.spark_partition_id()).agg(F.sum(F.size("elems")).alias("n"), F.count("_u1").alias("tiles")).where("n > 0").collect()
+    assert len(of) > 2 and all(r["tiles"] for r in of) and sum(r["n"] for r in of) > 2700
+    plain = products.mttkrp(hicoo.to_coo(h), us, 0, 2)
+    assert np.allclose(array(tiled.hicoo_mttkrp_tiled(h, us, 0, 2)), array(plain))
+    assert np.allclose(array(tiled.hicoo_mttkrp_tiled(hicoo.HiCOO(h.df, h.ndims, 2, 3), us, 0, 2)), array(plain))
+
+
 def test_tiled_contraction_of_nothing(spark):
     h = hicoo.to_hicoo(SparseTensor.empty(spark, (4, 4, 4)), 1, 2)
     us = [matrix.randomize(spark, 4, 2, k) for k in range(3)]
