@@ -281,3 +281,72 @@ def test_model_lets_many_customers_leave_together():
 
 def uniform_draws(n: int) -> np.ndarray:
     return pitman_yor.mixed(np.arange(n, dtype=np.uint64))
+
+
+def test_model_numbers_words_as_a_plain_reader_does():
+    """Words at every length about eight bytes and the long ones, texts that touch, bytes that only look like white space."""
+    odd = [b"", b"a", None, b" \t\n\v\f\r", b"b", b"b", b"A\x00 a\x00\x00 a \xc3\x84 \x85c\x1cd \xa0", b"\n".join(b"xy" * k + b" " + b"z" * k for k in (1, 3, 4, 5, 8, 9, 31, 32, 33, 150)), b"end ", b" start"]
+    chunk, numbers = pitman_yor.Chunk(), {b"": 0, b" ": 1}
+    for texts in (odd[:6], odd[4:], odd):
+        for t in texts:
+            chunk.add(t)
+        hashes, number, contexts, text = chunk.read()
+        chunk.clear()
+        want = [(numbers.setdefault(w, len(numbers)), i) for i, t in enumerate(texts) for w in ((t or b"").lower().split() + [b" "])]
+        assert list(zip(number.tolist(), text.tolist())) == want
+        assert hashes.tolist() == [pitman_yor.xxhash.xxh64_intdigest(w, 13) & ~3 for w in numbers]
+        before = [0 if k == 0 or want[k - 1][1] != i else want[k - 1][0] for k, (_, i) in enumerate(want)]
+        assert contexts.tolist() == [int(hashes[k]) >> 48 for k in before]
+
+
+def shuffled_rows(df) -> list[int]:
+    """Rows written at each exchange of a query that has run."""
+    found, plans = [], [df._jdf.queryExecution().executedPlan().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        if "QueryStage" in plan.nodeName():
+            plans.append(plan.plan())
+        if plan.nodeName() == "Exchange":
+            found.append(plan.metrics().apply("shuffleRecordsWritten").value())
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return found
+
+
+def test_model_sends_a_row_a_bucket_and_not_a_word(spark, monkeypatch):
+    """Hundreds of words in a few rows; buckets that come in many rows and pieces are summed whole."""
+    texts = [" ".join(f"w{i * 7 % 40}x{k * k % (90 + i)}" for k in range(60)) + " the cat" * i for i in range(24)]
+    docs = spark.createDataFrame([(i % 3 > 0, t) for i, t in enumerate(texts)], "train boolean, text string").repartition(3)
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        chunk = pitman_yor.Chunk()
+        chunk.add(t.encode())
+        hashes, number, contexts, _ = chunk.read()
+        for w, u in zip(hashes[number.astype(np.int64)].tolist(), contexts.tolist()):
+            want[w, u] += int(i % 3 > 0)
+    monkeypatch.setattr(pitman_yor, "BUCKET_BITS", 3)
+    for pieces in (False, True):
+        if pieces:
+            for name, to in (("CHUNK_TOKENS", 64), ("CHUNK_PAIRS", 20), ("PACKS", 1)):
+                monkeypatch.setattr(pitman_yor, name, to)
+        counts = pitman_yor.pair_counts(docs)
+        found = counts.collect()
+        got = {(r["w"] % (1 << 64), u): n for r in found for u, n in zip(np.frombuffer(r["us"], np.uint16).tolist(), np.frombuffer(r["ns"], np.int64).tolist())}
+        assert got == dict(want) and len({r["w"] for r in found}) == len(found)
+        assert all(r["c"] == np.frombuffer(r["ns"], np.int64).sum() for r in found)
+        if not pieces:
+            assert max(shuffled_rows(counts)) <= 3 * 8 < len(found)  # a row a task and bucket, and the 24 texts
+
+
+def test_scores_do_not_depend_on_buckets(spark, monkeypatch):
+    texts = [prose(i % 5, 40) + " the cat " * (i % 7) + prose(100 + i, 5) for i in range(30)]
+    docs = spark.createDataFrame([(str(i), i % 6 == 0, t) for i, t in enumerate(texts)], "id string, held_out boolean, text string")
+    with scratch(spark):
+        model = pitman_yor.train(docs.select((~F.col("held_out")).alias("train"), "text"))
+        runs = []
+        for settings in ({}, {"BUCKET_BITS": 2, "PACKS": 1, "CHUNK_TOKENS": 64, "HELD": 5, "HOT": 50}, {"BUCKET_BITS": 1, "BUCKET_PAIRS": 10, "PACKS": 3, "HELD": 0}):
+            for name, to in settings.items():
+                monkeypatch.setattr(pitman_yor, name, to)
+            runs.append({r["id"]: r for r in pitman_yor.scores(docs, model).collect()})
+        for run in runs[1:]:
+            assert len(run) == 30 and all(run[i]["tokens"] == r["tokens"] and run[i]["known"] == r["known"] for i, r in runs[0].items())
+            assert all((run[i]["base"], run[i]["score"]) == pytest.approx((r["base"], r["score"]), rel=1e-6) for i, r in runs[0].items())
