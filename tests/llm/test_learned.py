@@ -350,3 +350,14 @@ def test_scores_do_not_depend_on_buckets(spark, monkeypatch):
         for run in runs[1:]:
             assert len(run) == 30 and all(run[i]["tokens"] == r["tokens"] and run[i]["known"] == r["known"] for i, r in runs[0].items())
             assert all((run[i]["base"], run[i]["score"]) == pytest.approx((r["base"], r["score"]), rel=1e-6) for i, r in runs[0].items())
+
+
+def test_model_finds_pairs_as_a_search_does():
+    """All that are there and no others, among none, one, many and close ones."""
+    many = pitman_yor.mixed(np.arange(3000, dtype=np.uint64))
+    close = np.arange(50, dtype=np.uint64) * np.uint64(2) + np.uint64(1 << 63)
+    for numbers in (many[:0], many[:1], many, np.append(close, many), np.array([0, (1 << 64) - 1], np.uint64)):
+        numbers = np.sort(numbers)
+        wanted = np.concatenate([many[::-1], close, close + np.uint64(1), numbers, np.array([0, 1, (1 << 64) - 1], np.uint64)])
+        there, at = pitman_yor.Sorted(numbers).find(wanted)
+        assert (there == np.isin(wanted, numbers)).all() and (numbers[at] == wanted[there]).all()
